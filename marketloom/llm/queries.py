@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import minhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": lambda spark, d: suffix_dedup.query(table(spark, d, "documents")),
+        "op2_minhash_dedup": lambda spark, d: minhash.query(table(spark, d, "documents")),
     }
 
 
