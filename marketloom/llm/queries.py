@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, suffix_dedup
+from . import bpe, minhash, quality, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": lambda spark, d: suffix_dedup.query(table(spark, d, "documents")),
         "op2_minhash_dedup": lambda spark, d: minhash.query(table(spark, d, "documents")),
+        "op5_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
+        "op10_quality": lambda spark, d: quality.query(table(spark, d, "documents")),
     }
 
 
