@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, quality, suffix_dedup
+from . import bpe, minhash, mixing, quality, secrets, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": lambda spark, d: suffix_dedup.query(table(spark, d, "documents")),
         "op2_minhash_dedup": lambda spark, d: minhash.query(table(spark, d, "documents")),
         "op5_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
+        "op6_url_filter": lambda spark, d: url_filter.query(table(spark, d, "pages")),
+        "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
+        "op9_secrets": lambda spark, d: secrets.query(table(spark, d, "documents")),
         "op10_quality": lambda spark, d: quality.query(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": url_filter.ORACLE, "op9_secrets": secrets.oracle()}
