@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, secrets, suffix_dedup, url_filter
+from . import bpe, line_dedup, minhash, mixing, quality, secrets, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": lambda spark, d: suffix_dedup.query(table(spark, d, "documents")),
         "op2_minhash_dedup": lambda spark, d: minhash.query(table(spark, d, "documents")),
+        "op3_topk": lambda spark, d: topk.query(table(spark, d, "embeddings")),
+        "op4_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op5_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
         "op6_url_filter": lambda spark, d: url_filter.query(table(spark, d, "pages")),
+        "op7_line_dedup": lambda spark, d: line_dedup.query(table(spark, d, "documents")),
         "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op9_secrets": lambda spark, d: secrets.query(table(spark, d, "documents")),
         "op10_quality": lambda spark, d: quality.query(table(spark, d, "documents")),
@@ -26,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.ORACLE, "op9_secrets": secrets.oracle()}
+    return {"op3_topk": topk.ORACLE, "op6_url_filter": url_filter.ORACLE, "op9_secrets": secrets.oracle()}
