@@ -192,6 +192,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Up to so many dropped keys (8 bytes each) are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest doc_id.
+
+    Rows equal in doc_id and text become one, unless they have no words.
+    """
+    flags = written(near_duplicates(docs.select("doc_id", "text"), size, percent))
+    dropped = flags.where("not kept").select("row_key").distinct()
+    few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    kept = with_row_key(docs).join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), "row_key", "left_anti")
+    again = flags.where("n_shingles > 0 and doc_id is not null").groupBy("row_key").count().where("count > 1").select("row_key")
+    if again.limit(1).count():
+        kept = kept.join(again, "row_key", "left_anti").unionByName(kept.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return kept.select(*docs.columns)
+
+
 def _own(texts: DataFrame, size: int) -> DataFrame:
     """Of the texts joined by doc_id, those that are their class's (a doc_id may have several texts)."""
 

@@ -193,6 +193,19 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return _measured(docs.select("doc_id", "text"), lexicon, "doc_id").select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    a, *rest = lexicon.constants
+
+    def run(batches):
+        machine = lexicon.automaton()
+        for batch in batches:
+            z = [a + float(np.dot(rest, measure(machine, fold(t or "")))) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     found = score(docs, fit(docs, labels))
