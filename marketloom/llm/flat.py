@@ -2,7 +2,7 @@
 
 A batch of texts is one flat byte buffer with row offsets; every kernel works
 on whole buffers with NumPy, so no Python code runs per character or word.
-Nulls are empty texts.  Work is cut into slices of about a megabyte (a longer
+Nulls are empty texts.  Work is cut into slices of about half a megabyte (a longer
 text is a slice of its own) to bound memory.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

@@ -11,9 +11,10 @@ far less often.
 Documents with equal shingle sets are one class first, so copies cost nothing
 further.  A class takes part in tables only through groups that another class
 has too.  In each table all classes are held against the table's smallest and
-largest class; then, only in tables whose classes are not yet in one component,
-across the components.  So links are never lost and pairs within a group are
-never all made.  Every link is confirmed on the full shingle sets.
+largest class.  Classes of tables that still hold several components are then
+paired across components through their rarest shingles, which similar sets must
+share; so no link of a table is lost and pairs within a group are never all
+made.  Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -148,6 +149,34 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _by_rare_shingles(texts: DataFrame, unsure: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of ``unsure`` classes of different components that share one of their rarest shingles.
+
+    Similar sets of n shingles share at least percent of n, so they share one
+    of the rarest (100 - percent) % of n, plus one, in any common order.  Those
+    with more shingles that nobody else has than that are similar to none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                values, bounds = shingle_sets(*join_bytes(unpack(part.column("packed"))), size)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], ["node", "root", "set"])
+
+    sets = texts.select("node", "packed").join(unsure, "node").mapInArrow(run, "node long, root long, set array<long>")
+    sets = written(sets.withColumn("n", F.size("set")))
+    single = sets.select("node", F.explode("set").alias("shingle"))
+    common = single.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    shared = single.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("shared"))
+    rare = shared.join(sets.select("node", "root", "n"), "node").withColumn("first", first.cast("int")).where("first > 0")
+    rare = written(rare.select("node", "root", "n", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("x")).select("node", "root", "n", "x.shingle"))
+    a, b = (rare.select("shingle", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    near = (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return a.join(b, "shingle").where(near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
     """Groups of documents linked by 100 * |intersection| >= percent * |union| of their word shingles.
 
@@ -176,13 +205,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     pairs = buckets.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     links = written(_confirm(pairs, texts, size, percent))
     roots = components(links)
-    # tables whose classes are in several components: across those, every pair
+    # tables whose classes are in several components: pairs across these that can be similar at all
     parts = buckets.select("table", "node").join(roots, "node", "left").select("table", "node", F.coalesce("root", "node").alias("root"))
     open_tables = parts.groupBy("table").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("table")
-    parts = written(parts.join(open_tables, "table").join(classes.select("node", "n"), "node").select("table", "node", "root", "n"))
-    other = parts.select("table", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    across = parts.join(other, (parts["table"] == other["table"]) & (F.col("root") < F.col("root_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    across = across.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")
+    unsure = written(parts.join(open_tables, "table", "left_semi").select("node", "root").distinct())
+    across = _by_rare_shingles(texts, unsure, size, percent).join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")
     roots = components(roots.toDF("a", "b").union(_confirm(across, texts, size, percent)))
     member = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     lowest = member.groupBy("root").agg(F.min("rep").alias("component_id"))
