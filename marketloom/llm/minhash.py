@@ -31,6 +31,7 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 COLLECTIONS = 10
 ROWS = 2
+PARITY_BITS = 1024
 _U = np.uint64
 _WORD_STEP = _U(0xD6E8FEB86659FD93)
 
@@ -149,12 +150,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set the parities of how many of its hashes begin with each of ``PARITY_BITS`` values, as longs."""
+    rows = len(bounds) - 1
+    top = (values >> _U(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(rows), np.diff(bounds)) * PARITY_BITS + top, minlength=rows * PARITY_BITS) & 1
+    bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (PARITY_BITS // 64), pa.int32()), pa.array(bits))
+
+
 def _by_rare_shingles(texts: DataFrame, unsure: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of ``unsure`` classes of different components that share one of their rarest shingles.
 
     Similar sets of n shingles share at least percent of n, so they share one
     of the rarest (100 - percent) % of n, plus one, in any common order.  Those
     with more shingles that nobody else has than that are similar to none.
+    Each set also has a parity bit for each of ``PARITY_BITS`` hash values: two
+    sets differ in at least as many shingles as parity bits, which rules out
+    pairs inside the join.
     """
 
     def run(batches):
@@ -162,18 +175,21 @@ def _by_rare_shingles(texts: DataFrame, unsure: DataFrame, size: int, percent: i
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 values, bounds = shingle_sets(*join_bytes(unpack(part.column("packed"))), size)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))], ["node", "root", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))), parity(values, bounds)], ["node", "root", "set", "parity"])
 
-    sets = texts.select("node", "packed").join(unsure, "node").mapInArrow(run, "node long, root long, set array<long>")
+    sets = texts.select("node", "packed").join(unsure, "node").mapInArrow(run, "node long, root long, set array<long>, parity array<long>")
     sets = written(sets.withColumn("n", F.size("set")))
     single = sets.select("node", F.explode("set").alias("shingle"))
     common = single.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     shared = single.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("shared"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("shared"))
-    rare = shared.join(sets.select("node", "root", "n"), "node").withColumn("first", first.cast("int")).where("first > 0")
-    rare = written(rare.select("node", "root", "n", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("x")).select("node", "root", "n", "x.shingle"))
-    a, b = (rare.select("shingle", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    rare = shared.join(sets.select("node", "root", "n", "parity"), "node").withColumn("first", first.cast("int")).where("first > 0")
+    rare = written(rare.select("node", "root", "n", "parity", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("x")).select("node", "root", "n", "parity", "x.shingle"))
+    a, b = (rare.select("shingle", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    apart = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    # of n_a + n_b, similar sets differ in (100 - percent) / (100 + percent) at most
+    alike = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    near = alike & (F.col("root_a") < F.col("root_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return a.join(b, "shingle").where(near).select("a", "b").distinct()
 
 
