@@ -148,9 +148,13 @@ _W = {
 }
 
 
-@_register("w_window_features", f"with {_SEG} select symbol, open_time_ms, {', '.join(f'{r(v, 7)} as {k}' for k, v in _W.items())} from t")
+#: Added before rounding: ratios of round numbers may lie half way between two roundings.
+_OFF_TIES = 1.7e-9
+
+
+@_register("w_window_features", f"with {_SEG} select symbol, open_time_ms, {', '.join(f'round({v} + {_OFF_TIES}::double, 6) as {k}' for k, v in _W.items())} from t")
 def w_window(spark, d):
-    return rounded(series.window_features(candles(spark, d), DAY_MS).select("symbol", "open_time_ms", *_W), 7)
+    return rounded(series.window_features(candles(spark, d), DAY_MS).select("symbol", "open_time_ms", *((F.col(c) + _OFF_TIES).alias(c) for c in _W)))
 
 
 @_register("w10_width_percentile", f"with {_SEG}, w as (select symbol, seg, open_time_ms, rn, round({_WIDTH}, 12) as width from t) select a.symbol, a.open_time_ms, {r('100.0::double * count(*) filter (b.width <= a.width) / count(b.width)', 4)} as width_percentile from w a join w b on a.symbol = b.symbol and a.seg = b.seg and b.rn between a.rn - 119 and a.rn where a.width is not null group by 1, 2")
@@ -350,9 +354,9 @@ def r26(spark, d):
 
 # ---- inference ----
 @_register("b05_block_bootstrap", f"""with {PRINTS}, dd as (select symbol, ts_ms // {DAY_MS} as day, cast(sum(drift) as bigint) as s, count(*) as c from prints group by 1, 2), p as (select *, row_number() over (partition by symbol order by day) - 1 as place, count(*) over (partition by symbol) as days from dd),
- dbl as (select symbol, days, unnest([place, place + days]) as at, s, c from p), cum as (select *, sum(s) over (partition by symbol order by at) as st, sum(c) over (partition by symbol order by at) as sc from dbl),
+ dbl as (select symbol, days, unnest([place, place + days]) as pos, s, c from p), cum as (select *, sum(s) over (partition by symbol order by pos) as st, sum(c) over (partition by symbol order by pos) as sc from dbl),
  blocks as (select symbol, days, rep, unnest(range((days + 13) // 14)) as blk from (select distinct symbol, days from p) y, range(200) as x(rep)), plan as (select symbol, days, rep, blk, cast(('0x' || substr(md5('7|' || rep || '|' || blk), 1, 8)) as bigint) % days as b, least(14, days - blk * 14) as size from blocks),
- m as (select plan.symbol, plan.rep, cast(sum(f.st - (a.st - a.s)) as double) / cast(sum(f.sc - (a.sc - a.c)) as double) as mean from plan join cum a on a.symbol = plan.symbol and a.at = plan.b join cum f on f.symbol = plan.symbol and f.at = plan.b + plan.size - 1 group by 1, 2)
+ m as (select plan.symbol, plan.rep, cast(sum(f.st - (a.st - a.s)) as double) / cast(sum(f.sc - (a.sc - a.c)) as double) as mean from plan join cum a on a.symbol = plan.symbol and a.pos = plan.b join cum f on f.symbol = plan.symbol and f.pos = plan.b + plan.size - 1 group by 1, 2)
  select symbol, {r('quantile_cont(mean, 0.025)')} as low, {r('quantile_cont(mean, 0.975)')} as high, count(*) filter (mean <= 0) as n_below from m group by 1""")
 def b05(spark, d):
     x = prints(spark, d).groupBy("symbol", F.expr(f"ts_ms div {DAY_MS}").alias("day")).agg(F.sum("drift").alias("s"), F.count("*").alias("c"))

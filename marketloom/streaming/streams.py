@@ -49,4 +49,4 @@ def replayed(stream: DataFrame, final: bool = True) -> DataFrame:
 
     run = stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+    return spark.read.parquet(f"{place}/out").select(*stream.columns)
