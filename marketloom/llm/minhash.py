@@ -247,11 +247,12 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCE
     flags = written(near_duplicates(docs.select("doc_id", "text"), size, percent))
     dropped = flags.where("not kept").select("row_key").distinct()
     few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    kept = with_row_key(docs).join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), "row_key", "left_anti")
+    whole = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*docs.columns).alias("whole"))
+    kept = whole.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), "row_key", "left_anti")
     again = flags.where("n_shingles > 0 and doc_id is not null").groupBy("row_key").count().where("count > 1").select("row_key")
     if again.limit(1).count():
         kept = kept.join(again, "row_key", "left_anti").unionByName(kept.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
-    return kept.select(*docs.columns)
+    return kept.select("whole.*")
 
 
 def _own(texts: DataFrame, size: int) -> DataFrame:

@@ -143,12 +143,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: i
     """``docs`` with each row as often as the mix takes it."""
     plan = written(mix(docs, weights, budget_percent).select("row_key", "copies"))
     total = plan.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = with_row_key(docs)
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*docs.columns).alias("whole"))
     if total.where("_rows > 1").limit(1).count():  # rows alike in doc_id and text stand for each other
         keyed = keyed.dropDuplicates(["row_key"])
     taken = total.where("_copies > 0").select("row_key", "_copies").hint("shuffle_hash")
     out = keyed.join(taken, "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    return out.select("whole.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
