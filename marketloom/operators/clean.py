@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-KEY = Window.partitionBy("symbol").orderBy("open_time_ms")
+
+
+def _key() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time_ms")
 
 
 def violations() -> Column:
@@ -25,7 +28,7 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def gaps(bars: DataFrame, step_ms: int) -> DataFrame:
     """(symbol, after_ms, before_ms, missing) for each gap between neighbours."""
-    x = bars.select("symbol", F.lag("open_time_ms").over(KEY).alias("after_ms"), F.col("open_time_ms").alias("before_ms"))
+    x = bars.select("symbol", F.lag("open_time_ms").over(_key()).alias("after_ms"), F.col("open_time_ms").alias("before_ms"))
     return x.where(F.col("before_ms") - F.col("after_ms") > step_ms).withColumn("missing", F.expr(f"(before_ms - after_ms) div {step_ms} - 1"))
 
 
@@ -41,7 +44,7 @@ def resample(bars: DataFrame, step_ms: int, target_ms: int) -> DataFrame:
 
 
 def quality_summary(bars: DataFrame, step_ms: int) -> DataFrame:
-    g = F.col("open_time_ms") - F.lag("open_time_ms").over(KEY)
+    g = F.col("open_time_ms") - F.lag("open_time_ms").over(_key())
     x = bars.withColumn("_g", g)
     return x.groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.min("open_time_ms").alias("first_ms"), F.max("open_time_ms").alias("last_ms"),

@@ -90,4 +90,4 @@ def non_overlapping(episodes: DataFrame, by: list[str], entry: str, exit_: str)
         rows, F.struct(F.lit(None).cast("long").alias("x"), F.expr("cast(array() as array<struct<x:bigint,e:bigint>>)").alias("kept")),
         lambda a, r: F.when(a["x"].isNull() | (r["e"] >= a["x"]), F.struct(r["x"].alias("x"), F.concat(a["kept"], F.array(r)).alias("kept"))).otherwise(a),
     )["kept"]
-    return episodes.groupBy(*by).agg(kept.alias("k")).select(*by, F.explode("k").alias("k")).select(*by, F.col("k.e").alias(entry), F.col("k.x").alias(exit_))
+    return episodes.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("_kept")).select(*by, F.col("_kept.e").alias(entry), F.col("_kept.x").alias(exit_))

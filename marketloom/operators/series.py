@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-KEY = Window.partitionBy("symbol").orderBy("open_time_ms")
-SEGMENT = Window.partitionBy("symbol", "seg").orderBy("open_time_ms")
+
+
+def key() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time_ms")
+
+
+def segment() -> WindowSpec:
+    return Window.partitionBy("symbol", "seg").orderBy("open_time_ms")
 
 
 def with_segments(bars: DataFrame, step_ms: int) -> DataFrame:
     """``seg``: number of the contiguous run of bars; a gap starts a new one."""
-    gap = F.coalesce(F.col("open_time_ms") - F.lag("open_time_ms").over(KEY) != step_ms, F.lit(True))
-    return bars.withColumn("seg", F.sum(gap.cast("long")).over(KEY))
+    gap = F.coalesce(F.col("open_time_ms") - F.lag("open_time_ms").over(key()) != step_ms, F.lit(True))
+    return bars.withColumn("seg", F.sum(gap.cast("long")).over(key()))
 
 
 def full(value: Column, window: WindowSpec, rows: int) -> Column:
@@ -21,11 +27,11 @@ def full(value: Column, window: WindowSpec, rows: int) -> Column:
 
 
 def last(n: int) -> WindowSpec:
-    return SEGMENT.rowsBetween(-(n - 1), 0)
+    return segment().rowsBetween(-(n - 1), 0)
 
 
 def prior(n: int) -> WindowSpec:
-    return SEGMENT.rowsBetween(-n, -1)
+    return segment().rowsBetween(-n, -1)
 
 
 def bollinger_width(n: int = 20, deviations: float = 2.0) -> Column:
@@ -40,7 +46,7 @@ def prior_zscore(column: str, n: int = 30) -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(SEGMENT)
+    before = F.lag("close").over(segment())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -52,9 +58,9 @@ def flow_pressure(n: int = 20) -> Column:
 
 def efficiency_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
     """Kaufman efficiency ratio as ``efficiency``."""
-    moved = bars.withColumn("step", F.abs(F.col("close") - F.lag("close").over(SEGMENT)))
+    moved = bars.withColumn("step", F.abs(F.col("close") - F.lag("close").over(segment())))
     path = F.sum("step").over(last(n))
-    value = F.when(F.count("step").over(last(n)) == n, F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(SEGMENT)) / path).otherwise(F.lit(0.0)))
+    value = F.when(F.count("step").over(last(n)) == n, F.when(path > 0, F.abs(F.col("close") - F.lag("close", n).over(segment())) / path).otherwise(F.lit(0.0)))
     return moved.withColumn("efficiency", value).drop("step")
 
 
@@ -63,11 +69,11 @@ def pivots(left: int = 2, right: int = 2) -> dict[str, Column]:
 
     A pivot is known ``right`` rows later; ``known_rn`` says from which row on.
     """
-    before, after = SEGMENT.rowsBetween(-left, -1), SEGMENT.rowsBetween(1, right)
+    before, after = segment().rowsBetween(-left, -1), segment().rowsBetween(1, right)
     whole = (F.count(F.lit(1)).over(before) == left) & (F.count(F.lit(1)).over(after) == right)
     high = whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") >= F.max("high").over(after))
     low = whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") <= F.min("low").over(after))
-    return {"pivot_high": high, "pivot_low": low, "known_rn": F.row_number().over(SEGMENT) + right}
+    return {"pivot_high": high, "pivot_low": low, "known_rn": F.row_number().over(segment()) + right}
 
 
 def window_features(bars: DataFrame, step_ms: int) -> DataFrame:
@@ -78,7 +84,7 @@ def window_features(bars: DataFrame, step_ms: int) -> DataFrame:
         {
             "recent_high": F.max("high").over(prior(20)),
             "recent_low": F.min("low").over(prior(20)),
-            "previous_close": F.lag("close").over(SEGMENT),
+            "previous_close": F.lag("close").over(segment()),
             "relative_volume": F.when(base > 0, F.col("volume") / base).otherwise(F.lit(1.0)),
             "width": bollinger_width(),
             "volume_zscore": prior_zscore("volume"),
@@ -87,8 +93,8 @@ def window_features(bars: DataFrame, step_ms: int) -> DataFrame:
             "true_range": true_range(),
             "vwma20": full(F.sum(F.col("close") * F.col("quote_volume")).over(last(20)) / F.sum("quote_volume").over(last(20)), last(20), 20),
             "prior_median": full(F.percentile("close", F.lit(0.5)).over(prior(12)), prior(12), 12),
-            "momentum": F.log(F.lag("close", 3).over(SEGMENT) / F.lag("close", 24).over(SEGMENT)),
-            "support": full(F.min("low").over(SEGMENT.rowsBetween(-36, -13)), SEGMENT.rowsBetween(-36, -13), 24),
+            "momentum": F.log(F.lag("close", 3).over(segment()) / F.lag("close", 24).over(segment())),
+            "support": full(F.min("low").over(segment().rowsBetween(-36, -13)), segment().rowsBetween(-36, -13), 24),
         }
     )
     back = F.filter(F.collect_list("width").over(last(120)), lambda w: w <= F.col("width"))

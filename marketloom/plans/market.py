@@ -326,7 +326,7 @@ def a22(spark, d):
 def _features(spark, d):
     x = series.window_features(_recursive(spark, d), DAY_MS)
     size = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
-    lag = lambda c, n: F.lag(c, n).over(series.SEGMENT)
+    lag = lambda c, n: F.lag(c, n).over(series.segment())
     return x.withColumns({"macd1": lag("macd_histogram", 1), "macd2": lag("macd_histogram", 2), "rsi1": lag("rsi", 1), "upper_wick": F.greatest(F.lit(0.0), (F.col("high") - F.greatest("open", "close")) / size), "lower_wick": F.greatest(F.lit(0.0), (F.least("open", "close") - F.col("low")) / size)}).where("ema50 is not null and adx is not null")
 
 
