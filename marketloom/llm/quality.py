@@ -5,7 +5,10 @@ quantile sketches: counts of logarithmic bins, one row per language, source,
 ratio and bin.  Sketches add up exactly, so the result does not depend on the
 order of tasks; those of a language, and of all, are sums of the same rows.
 Fences far outside the middle half of a group replace fixed cut-offs and are
-joined back to the documents.
+joined back to the documents.  Documents that fail the base rules do not shape
+them.  How far out a fence stands follows from the sketches alone: from the
+width of the middle half, and from the step by which one more count changes the
+ratio in the group's shorter documents.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ MIN_GROUP = 200
 #: Relative width of a sketch bin, and the smallest ratio told from zero.
 BIN_WIDTH = 1.02
 SMALLEST = 1e-4
-#: How many middle-half widths beyond it a fence stands, and the least distance from the median by ratio.
+#: How many middle-half widths beyond it, and steps from the median, a fence stands.
 REACH = 6.0
-LEAST_DISTANCE = {"word_length": 6.0, "symbols_per_word": 0.5, "dup_lines_per_word": 0.2, "repeated_share": 0.35}
+#: Ratios by the counts of their smallest step; a three-word window that occurs again marks six words.
+STEPS = {"word_length": 0, "symbols_per_word": 1, "dup_lines_per_word": 1, "repeated_share": 6}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _U = np.uint64
@@ -108,36 +112,46 @@ def _ratios() -> dict[str, Column]:
 
 
 def sketches(found: DataFrame) -> DataFrame:
-    """lang, source, ratio, bin, c: the mergeable sketch of each group; null groups are groups of their own."""
+    """lang, source, ratio, bin, c: the mergeable sketch of each group; null groups are groups of their own.
+
+    ``per_word``, one by the number of words, is sketched beside the ratios.
+    """
     width = float(np.log(BIN_WIDTH))
-    pairs = F.array(*(F.struct(F.lit(k).alias("ratio"), F.floor(F.log(v + SMALLEST) / width).cast("int").alias("bin")) for k, v in _ratios().items()))
+    ratios = _ratios() | {"per_word": 1 / F.col("n_words")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("ratio"), F.floor(F.log(v + SMALLEST) / width).cast("int").alias("bin")) for k, v in ratios.items()))
     return found.where("n_words > 0").select("lang", "source", F.explode(pairs).alias("x")).groupBy("lang", "source", "x.ratio", "x.bin").agg(F.count("*").alias("c"))
 
 
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles and size of the merged sketches of ``by``."""
+    """Size, quartiles (q1, q2, q3) and last tenth (q9) of the merged sketches of ``by``, and the q9 of ``per_word`` (step)."""
     merged = sketch.groupBy(*by, "ratio", "bin").agg(F.sum("c").alias("c"))
     group = Window.partitionBy(*by, "ratio")
     ranked = merged.withColumn("upto", F.sum("c").over(group.orderBy("bin"))).withColumn("n", F.sum("c").over(group))
     width = float(np.log(BIN_WIDTH))
     value = F.exp((F.col("bin") + 0.5) * width) - SMALLEST
-    pick = [F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, value)).alias(f"q{q}") for q in (1, 2, 3)]
-    return ranked.groupBy(*by, "ratio").agg(F.max("n").alias("n"), *pick)
+    pick = [F.min(F.when(F.col("upto") * 20 >= F.col("n") * q, value)).alias(name) for name, q in (("q1", 5), ("q2", 10), ("q3", 15), ("q9", 18))]
+    found = ranked.groupBy(*by, "ratio").agg(F.max("n").alias("n"), *pick)
+    return found.withColumn("step", F.max(F.when(F.col("ratio") == "per_word", F.col("q9"))).over(Window.partitionBy(*by)))
 
 
 def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, and the bounds low_<ratio> and high_<ratio> of each group."""
+    """lang, source, and the bounds low_<ratio> and high_<ratio> of each group; null where all sketches are of one value."""
+    mine = F.struct("n", "q1", "q2", "q3", "step")
     own = _quantiles(sketch, ["lang", "source"])
-    lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), F.struct("n", "q1", "q2", "q3").alias("by_lang"))
-    every = _quantiles(sketch, []).select(F.col("ratio").alias("ra"), F.struct("n", "q1", "q2", "q3").alias("by_all"))
+    lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), mine.alias("by_lang"))
+    every = _quantiles(sketch, []).select(F.col("ratio").alias("ra"), mine.alias("by_all"))
     q = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(every, F.col("ratio") == F.col("ra"))
-    mine = F.struct("n", "q1", "q2", "q3")
-    best = F.when(F.col("n") >= min_group, mine).when(F.col("by_lang.n") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
-    q = q.select("lang", "source", "ratio", best.alias("b"))
-    least = F.create_map(*(F.lit(x) for pair in LEAST_DISTANCE.items() for x in pair))[F.col("ratio")]
-    reach = REACH * (F.col("b.q3") - F.col("b.q1"))
-    q = q.withColumn("low", F.least(F.col("b.q1") - reach, F.col("b.q2") - least)).withColumn("high", F.greatest(F.col("b.q3") + reach, F.col("b.q2") + least))
-    columns = [f(F.when(F.col("ratio") == k, F.col(side))).alias(f"{side}_{k}") for k in LEAST_DISTANCE for side, f in (("low", F.min), ("high", F.max))]
+    wide = F.when(F.col("by_lang.n") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
+    q = q.select("lang", "source", "ratio", F.when(F.col("n") >= min_group, mine).otherwise(wide).alias("b"), wide.alias("w"), "by_all")
+    middle = lambda x: F.col(f"{x}.q3") - F.col(f"{x}.q1")
+    # a ratio without a step could be narrowed to nothing by copies: its language's width counts too, or that of all
+    wider = F.greatest(middle("b"), middle("w"))
+    wider = F.when(wider > 0, wider).otherwise(middle("by_all"))
+    least = F.create_map(*(F.lit(x) for k, v in STEPS.items() for x in (k, float(v))))[F.col("ratio")] * F.col("b.step")
+    half = F.when(least > 0, middle("b")).otherwise(wider)
+    reach = F.when((half > 0) | (least > 0), F.lit(REACH))
+    q = q.withColumn("low", F.least(F.col("b.q1") - reach * half, F.col("b.q2") - reach * least)).withColumn("high", F.greatest(F.col("b.q3") + reach * half, F.col("b.q2") + reach * least))
+    columns = [f(F.when(F.col("ratio") == k, F.col(side))).alias(f"{side}_{k}") for k in STEPS for side, f in (("low", F.min), ("high", F.max))]
     return q.groupBy("lang", "source").agg(*columns)
 
 
@@ -153,9 +167,9 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int
     columns are ignored.
     """
     found = written(measured(docs))
-    bounds = fences(sketches(found)).withColumnsRenamed({"lang": "lang_b", "source": "source_b"})
-    joined = found.join(bounds, F.col("lang").eqNullSafe(F.col("lang_b")) & F.col("source").eqNullSafe(F.col("source_b")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    bounds = fences(sketches(found.where(~failed))).withColumnsRenamed({"lang": "lang_b", "source": "source_b"})
+    joined = found.join(bounds, F.col("lang").eqNullSafe(F.col("lang_b")) & F.col("source").eqNullSafe(F.col("source_b")), "left")
     inside = F.lit(True)
     for name, value in _ratios().items():
         inside = inside & F.coalesce(value.between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))

@@ -228,6 +228,23 @@ def test_quality_measures_match_brute_force(docs, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_fences_follow_the_group(spark):
+    rng = random.Random(11)
+
+    def text(words, symbols):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(words)]
+        for i in rng.sample(range(words), symbols):
+            w[i] += "|"
+        return " ".join(w)
+
+    rows = [(i, text(rng.randint(80, 200), 0), "en", "plain") for i in range(300)]
+    rows += [(1000 + i, text(100, rng.randint(10, 60)), "en", "tables") for i in range(300)]
+    # 0.45 symbols a word: junk among plain texts, usual among tables; two in a hundred are no sign of junk
+    rows += [(2000 + i, text(100, 45), "en", source) for i, source in enumerate(["plain"] * 9 + ["tables"] * 9)] + [(3000, text(100, 2), "en", "plain")]
+    kept = {r["doc_id"] for r in quality.query(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert not kept & set(range(2000, 2009)) and kept >= {3000, *range(300), *range(1000, 1300), *range(2009, 2018)}
+
+
 OPERATORS = [suffix_dedup.query, minhash.query, bpe.query, line_dedup.query, mixing.query, secrets.query, quality.query]
 
 
