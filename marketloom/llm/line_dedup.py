@@ -1,12 +1,12 @@
 """Removal of lines shared with earlier documents by pairwise alignment (operator 7).
 
-Documents that share a line are found through line hashes.  A document is
-linked to the first holder of each line that it shares and, through rare lines,
-to the holder just before it; links grow with the lines, never with the square
-of a line's holders.  Each linked pair is aligned with patience diff: lines
-unique on both sides, their longest increasing chain, equal neighbours around
-it, and the gaps again.  Aligned blocks of enough bytes go from the later
-document; documents are judged on their input, not on what is left.
+Documents that share a block are found through hashes of its shortest runs of
+adjacent lines that reach enough bytes: a document is linked to the first
+holder of each such run, so each shared block meets, run by run, documents
+that hold it whole, and links grow with the lines.  Each linked pair is aligned
+with patience diff: lines unique on both sides, their longest increasing chain,
+equal neighbours around it, and the gaps again.  Aligned blocks of enough bytes
+go from the later document.  Documents are judged on their input, not on what is left.
 """
 
 from __future__ import annotations
@@ -15,18 +15,14 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import SPACE, flatten, lines, prefix_hash, slices, span_hash
 from .tables import packed, unpack, with_row_key, written
 
-#: A line with fewer bytes links no documents (it may still be part of a block).
-LINK_BYTES = 24
-#: A line that at most so many documents hold is rare.
-RARE = 32
-#: A block with fewer bytes stays.
-BLOCK_BYTES = 80
+#: A block with fewer bytes other than white space stays, unless it is the whole later document.
+BLOCK_BYTES = 8
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -92,59 +88,109 @@ def shared_blocks(later: list[int], earlier: list[int], size: list[int], least:
     return out
 
 
-def _lined(keyed: DataFrame) -> DataFrame:
-    """Line hashes, byte sizes and marks of the linking lines of each document."""
+def block_runs(size: np.ndarray, row: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of lines that stand for blocks, as (row, start, end), and those that only answer for short documents.
+
+    From each line, and up to each line, the shortest run of ``least`` bytes:
+    together they cover every line of any block of so many bytes, and which
+    runs a block has depends on the block alone.  A document with fewer bytes
+    asks for one run, itself without blank lines around it; the runs that could
+    hold one are the others.
+    """
+    count = np.bincount(row, minlength=rows)
+    last = np.cumsum(count)
+    first = last - count
+    upto = np.concatenate([[0], np.cumsum(size)])
+    line = np.arange(len(size))
+    fore = np.searchsorted(upto, upto[:-1] + least, "left")
+    back = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    ok, ok2 = fore <= last[row], (back >= first[row]) & (upto[1:] >= least)
+    s, e = np.concatenate([line[ok], back[ok2]]), np.concatenate([fore[ok], line[ok2] + 1])
+    text = np.flatnonzero(size > 0)
+    total = upto[last] - upto[first]
+    short = np.flatnonzero((total > 0) & (total < least))
+    left = text[np.searchsorted(text, first[short])]
+    right = text[np.searchsorted(text, last[short]) - 1]
+    s, e = np.concatenate([s, left]), np.concatenate([e, right + 1])
+    pair = np.unique(np.stack([s, e], axis=1), axis=0)
+    held = [np.zeros((0, 2), np.int64)]
+    for k in range(least - 1):
+        i, j = text[: len(text) - k], text[k:]
+        fits = (row[i] == row[j]) & (upto[j + 1] - upto[i] < least)
+        held.append(np.stack([i[fits], j[fits] + 1], axis=1))
+        if len(text) <= k + 1:
+            break
+    other = np.concatenate(held)
+    return row[pair[:, 0]], pair[:, 0], pair[:, 1], row[other[:, 0]], other[:, 0], other[:, 1]
+
+
+def _lined(keyed: DataFrame, least: int) -> DataFrame:
+    """Line hashes and sizes of each document, and the runs by which it is linked."""
+    fields = {"hashes": "long", "sizes": "int", "starts": "int", "ends": "int", "runs": "long", "held": "long"}
 
     def run(batches):
         for batch in batches:
             buf, off = flatten(batch.column("text"))
-            parts = []
+            parts, counts = [], []
             for lo, hi in slices(off):
                 x, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 a, b, row = lines(x, o)
                 full = np.zeros(len(x) + 1, np.int64)
                 np.cumsum(~SPACE[x], out=full[1:])
-                link = full[b] - full[a] >= LINK_BYTES
-                parts.append((span_hash(prefix_hash(x), a, b).view(np.int64), b - a, link, np.bincount(row, minlength=hi - lo)))
+                size, prefix = full[b] - full[a], prefix_hash(x)
+                r, s, e, r2, s2, e2 = block_runs(size, row, hi - lo, least)
+                order = np.argsort(r2, kind="stable")
+                r2, s2, e2 = r2[order], s2[order], e2[order]
+                count = np.bincount(row, minlength=hi - lo)
+                first = np.cumsum(count) - count
+                # a run is the bytes from its first line to its last, line breaks among them
+                hashed = [span_hash(prefix, a[u], b[v - 1]).view(np.int64) for u, v in ((s, e), (s2, e2))]
+                # a short document goes with the blank lines around its run
+                short = np.bincount(row, size, hi - lo)[r] < least
+                s, e = np.where(short, 0, s - first[r]), np.where(short, count[r], e - first[r])
+                parts.append((span_hash(prefix, a, b).view(np.int64), size, s, e, *hashed))
+                n, m = np.bincount(r, minlength=hi - lo), np.bincount(r2, minlength=hi - lo)
+                counts.append((count, count, n, n, n, m))
             if not parts:
                 continue
-            h, n, link, count = (np.concatenate(p) for p in zip(*parts, strict=True))
-            at = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
-            arrays = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (h, n.astype(np.int32), link)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], ["doc_id", "row_key", "hashes", "sizes", "link"])
+            arrays = []
+            for kind, found, count in zip(fields.values(), zip(*parts, strict=True), zip(*counts, strict=True), strict=True):
+                at = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(count))]), pa.int32())
+                arrays.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).astype(np.int64 if kind == "long" else np.int32))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], ["doc_id", "row_key", *fields])
 
     kind = dict(keyed.dtypes)["doc_id"]
-    return keyed.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long, hashes array<long>, sizes array<int>, link array<boolean>")
+    return keyed.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long" + "".join(f", {k} array<{v}>" for k, v in fields.items()))
 
 
-def shared_lines(keyed: DataFrame, rare: int = RARE, least: int = BLOCK_BYTES) -> DataFrame:
+def shared_lines(keyed: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
     """(row_key, gone: sorted line numbers that an earlier document holds) of documents with any."""
-    lined = written(_lined(keyed.where("doc_id is not null")))
-    hold = lined.select("doc_id", "row_key", F.explode(F.array_distinct(F.expr("filter(hashes, (h, i) -> link[i])"))).alias("line"))
+    # equal rows share a key and lose the same lines; written as they are, so that joins shuffle apart from the aggregate
+    once = written(_lined(keyed.where("doc_id is not null"), least).dropDuplicates(["row_key"]))
     me = F.struct("doc_id", "row_key")
-    # as a table of its own, so that the join shuffles apart from the aggregate and a line of many holders is split
-    first = written(hold.groupBy("line").agg(F.count("*").alias("holders"), F.min(me).alias("first")).where("holders > 1"))
-    shared = written(hold.join(first, "line"))
-    before = F.lag(me).over(Window.partitionBy("line").orderBy("doc_id", "row_key"))
-    by_rare = shared.where(F.col("holders") <= rare).select(me.alias("me"), before.alias("partner"))
-    links = shared.select(me.alias("me"), F.col("first").alias("partner")).union(by_rare).where("partner is not null and partner.doc_id < me.doc_id or partner.doc_id = me.doc_id and partner.row_key < me.row_key")
-    # equal rows share a key: the link from a key to itself tells copies of a row apart from its first
-    links = links.select(F.col("me.row_key").alias("row_key"), F.col("partner.row_key").alias("partner")).distinct()
-    once = lined.dropDuplicates(["row_key"])
-    mine = links.join(once.select("row_key", "hashes", "sizes"), "row_key")
-    both = mine.join(once.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs")), "partner")
+    asks = once.select("doc_id", "row_key", F.explode(F.array_distinct("runs")).alias("run"))
+    answers = once.where("size(held) > 0").select("doc_id", "row_key", F.explode(F.array_distinct("held")).alias("run"))
+    hold = asks.select("*", F.lit(1).alias("asked")).union(answers.select("*", F.lit(0).alias("asked")))
+    # as a table of its own, so that the join shuffles apart from the aggregate and a run of many holders is split
+    first = written(hold.groupBy("run").agg(F.count("*").alias("holders"), F.sum("asked").alias("asked"), F.min(me).alias("first")).where("holders > 1 and asked > 0").select("run", "first"))
+    links = asks.join(first, "run").where("first.row_key <> row_key").select("row_key", F.col("first.row_key").alias("partner")).distinct()
+    mine = links.join(once.select("row_key", "hashes", "sizes", "starts", "ends", "runs"), "row_key")
+    both = mine.join(once.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs"), F.concat("runs", "held").alias("known")), "partner")
 
     def align(batches):
+        names = ("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known")
         for batch in batches:
-            later, earlier, size = (batch.column(c).to_pylist() for c in ("hashes", "theirs", "sizes"))
-            gone = [shared_blocks(a, b, n, least) for a, b, n in zip(later, earlier, size, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(gone, pa.list_(pa.int32()))], ["row_key", "gone"])
+            keys, *columns = (batch.column(c) for c in names)
+            gone = []
+            for a, b, n, s, e, r, known in zip(*(c.to_pylist() for c in columns), strict=True):
+                gone.append(sorted({*shared_blocks(a, b, n, least)}))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(gone, pa.list_(pa.int32()))], ["row_key", "gone"])
 
-    pairs = both.select("row_key", "hashes", "theirs", "sizes").mapInArrow(align, "row_key long, gone array<int>")
+    pairs = both.select("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known").mapInArrow(align, "row_key long, gone array<int>")
     return pairs.where("size(gone) > 0").groupBy("row_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, least: int = BLOCK_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with aligned lines of earlier documents deleted from ``text``.
 
     Adds n_lines and n_removed (``\\n``-split lines before, and deleted); other
@@ -156,7 +202,7 @@ def line_dedup(docs: DataFrame, rare: int = RARE, least: int = BLOCK_BYTES) -> D
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = with_row_key(docs.select("doc_id", "text"))
-    gone = shared_lines(keyed, rare, least)
+    gone = shared_lines(keyed, least)
     # other columns travel in one struct, so that their names clash with none
     others = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in names if c != "text")).alias("others")
     small = packed(docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", others), ["row_key", "others"])

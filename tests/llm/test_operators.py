@@ -201,6 +201,15 @@ def test_line_dedup_deletes_from_the_later_document(odd):
     assert got[10]["n_removed"] == 0 and got[11]["text"] == "x\nmore" and got[6]["text"] == "" and got[5]["n_removed"] == 0
 
 
+def test_line_dedup_short_lines_moved_runs_and_many_sources(spark):
+    verse = "\n".join(f"verse line {i}" for i in range(6))
+    own = [f"this line is of number {i} and in no other place" for i in range(9)]
+    rows = [(1, verse), (2, own[0] + "\n" + verse), (3, "\n".join(own[1:5])), (4, "\n".join([own[3], own[4], own[1], own[2], "x", own[1], own[2]]))]
+    rows += [(5, own[5] + "\nfive"), (6, own[6] + "\nsix"), (7, own[5] + "\n" + own[6]), (8, "new\n" + own[5] + "\n" + own[6])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2] == own[0] and got[7] == "" and got[8] == "new"
+
+
 def test_mixing_targets(docs):
     rows = mixing.query(docs).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
