@@ -6,7 +6,8 @@ holder of each such run, so each shared block meets, run by run, documents
 that hold it whole, and links grow with the lines.  Each linked pair is aligned
 with patience diff: lines unique on both sides, their longest increasing chain,
 equal neighbours around it, and the gaps again.  Aligned blocks of enough bytes
-go from the later document.  Documents are judged on their input, not on what is left.
+go from the later document, and so do repeated or moved runs that the diff
+passes over.  Documents are judged on their input, not on what is left.
 """
 
 from __future__ import annotations
@@ -88,6 +89,16 @@ def shared_blocks(later: list[int], earlier: list[int], size: list[int], least:
     return out
 
 
+def shared_runs(starts: list[int], ends: list[int], runs: list[int], known: set[int], n: int) -> list[int]:
+    """Lines of the runs [start, end) that are known."""
+    depth = [0] * (n + 1)
+    for s, e, h in zip(starts, ends, runs, strict=True):
+        if h in known:
+            depth[s] += 1
+            depth[e] -= 1
+    return np.flatnonzero(np.cumsum(depth[:n]) > 0).tolist() if n else []
+
+
 def block_runs(size: np.ndarray, row: np.ndarray, rows: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of lines that stand for blocks, as (row, start, end), and those that only answer for short documents.
 
@@ -183,7 +194,7 @@ def shared_lines(keyed: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
             keys, *columns = (batch.column(c) for c in names)
             gone = []
             for a, b, n, s, e, r, known in zip(*(c.to_pylist() for c in columns), strict=True):
-                gone.append(sorted({*shared_blocks(a, b, n, least)}))
+                gone.append(sorted({*shared_blocks(a, b, n, least), *shared_runs(s, e, r, set(known), len(a))}))
             yield pa.RecordBatch.from_arrays([keys, pa.array(gone, pa.list_(pa.int32()))], ["row_key", "gone"])
 
     pairs = both.select("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known").mapInArrow(align, "row_key long, gone array<int>")

@@ -201,13 +201,39 @@ def test_line_dedup_deletes_from_the_later_document(odd):
     assert got[10]["n_removed"] == 0 and got[11]["text"] == "x\nmore" and got[6]["text"] == "" and got[5]["n_removed"] == 0
 
 
+def shared(rows, least):
+    """Lines of each (id, text) in runs of enough bytes, or of the whole text, that an earlier one holds as a run."""
+    have, out = set(), {}
+    for k, t in sorted(rows):
+        x = t.split("\n")
+        size = [len(re.sub(r"\s", "", y)) for y in x]
+        spans = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        gone = {n for i, j in spans if sum(size[i:j]) >= least and tuple(x[i:j]) in have for n in range(i, j)}
+        full = [i for i, n in enumerate(size) if n]
+        if 0 < sum(size) < least and tuple(x[full[0] : full[-1] + 1]) in have:
+            gone = set(range(len(x)))
+        out[k] = len(gone), "\n".join(y for i, y in enumerate(x) if i not in gone)
+        have |= {tuple(x[i:j]) for i, j in spans}
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = random.Random(17)
+    pool = ["", " ", "a", "bb", "}", "ccccc", "dd ddd", "eight by", "a line of twenty bytes", "long enough for any bound " * 4]
+    rows = [(i, "\n".join(rng.choice(pool if rng.random() < 0.6 else [*pool, f"own line {i} {rng.random()}"]) for _ in range(rng.randint(1, 9)))) for i in range(250)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (line_dedup.BLOCK_BYTES, 30):
+        got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.line_dedup(frame, least=least).collect()}
+        assert got == shared(rows, least)
+
+
 def test_line_dedup_short_lines_moved_runs_and_many_sources(spark):
     verse = "\n".join(f"verse line {i}" for i in range(6))
     own = [f"this line is of number {i} and in no other place" for i in range(9)]
     rows = [(1, verse), (2, own[0] + "\n" + verse), (3, "\n".join(own[1:5])), (4, "\n".join([own[3], own[4], own[1], own[2], "x", own[1], own[2]]))]
     rows += [(5, own[5] + "\nfive"), (6, own[6] + "\nsix"), (7, own[5] + "\n" + own[6]), (8, "new\n" + own[5] + "\n" + own[6])]
     got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[2] == own[0] and got[7] == "" and got[8] == "new"
+    assert got[2] == own[0] and got[4] == "x" and got[7] == "" and got[8] == "new"
 
 
 def test_mixing_targets(docs):
