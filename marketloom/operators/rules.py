@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -79,15 +81,50 @@ def state_changes(evaluated: DataFrame, watch: int = 40, confirm: int = 60) -> D
     return x.where("stage <> before")
 
 
-def non_overlapping(episodes: DataFrame, by: list[str], entry: str, exit_: str) -> DataFrame:
+def _successors(nodes: DataFrame, bucket_ms: int) -> DataFrame:
+    """(g, x, e, nx, ne): for each node the first other one by exit and entry that enters at its exit or later.
+
+    An as-of pass over time buckets: a window inside each bucket of a stratum
+    and one over the buckets' minima, so that no stratum is one task.
+    """
+    empty = F.col("x") == F.col("e")
+    bucket = lambda t: F.floor(F.col(t) / bucket_ms)
+    # latest first; at equal times an empty interval comes after the query of its own exit and before those of others
+    enter = nodes.select("g", bucket("e").alias("b"), F.col("e").alias("t"), F.when(empty, 2).otherwise(0).alias("side"), F.struct("x", "e").alias("best"), F.lit(None).cast("struct<x:bigint,e:bigint>").alias("of"))
+    leave = nodes.select("g", bucket("x").alias("b"), F.col("x").alias("t"), F.when(empty, 1).otherwise(3).alias("side"), F.lit(None).cast("struct<x:bigint,e:bigint>").alias("best"), F.struct("x", "e").alias("of"))
+    inside = Window.partitionBy("g", "b").orderBy(F.desc("t"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    near = enter.union(leave).withColumn("best", F.min("best").over(inside)).where("of is not null")
+    minima = enter.select("g", "b", "best").union(leave.select("g", "b", "best")).groupBy("g", "b").agg(F.min("best").alias("best"))
+    later = Window.partitionBy("g").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    far = minima.select("g", "b", F.min("best").over(later).alias("far"))
+    found = near.join(far, ["g", "b"], "left").withColumn("best", F.least("best", "far"))
+    return found.select("g", F.col("of.x").alias("x"), F.col("of.e").alias("e"), F.col("best.x").alias("nx"), F.col("best.e").alias("ne"))
+
+
+def non_overlapping(episodes: DataFrame, by: list[str], entry: str, exit_: str, ties: list[str] | None = None, bucket_ms: int = 86_400_000) -> DataFrame:
     """Episodes of each stratum taken in time order, earliest exit first, each after the last one's exit.
 
-    A stratum is folded by one aggregate over its sorted episodes; there must
-    be many strata.
+    Returns ``by``, ``ties``, entry and exit.  Without ``by`` all episodes are
+    one stratum.  Of episodes with the same entry and exit the least by ``ties``
+    is taken.  Rows without entry or exit, or that exit before they enter, are
+    no intervals.  Each episode points to its successor; reachability from the
+    first one doubles with each round, and tables between rounds are written,
+    so neither a stratum nor its chain has to fit a task.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(exit_).alias("x"), F.col(entry).alias("e"))))
-    kept = F.aggregate(
-        rows, F.struct(F.lit(None).cast("long").alias("x"), F.expr("cast(array() as array<struct<x:bigint,e:bigint>>)").alias("kept")),
-        lambda a, r: F.when(a["x"].isNull() | (r["e"] >= a["x"]), F.struct(r["x"].alias("x"), F.concat(a["kept"], F.array(r)).alias("kept"))).otherwise(a),
-    )["kept"]
-    return episodes.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("_kept")).select(*by, F.col("_kept.e").alias(entry), F.col("_kept.x").alias(exit_))
+    ties = ties or []
+    rows = episodes.select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(exit_).cast("long").alias("x"), F.col(entry).cast("long").alias("e"), F.struct(F.lit(0).alias("_"), *ties).alias("tie")).where("e <= x")
+    rows = written(rows)
+    nodes = rows.groupBy("g", "x", "e").agg(F.min("tie").alias("tie"))
+    jump = written(_successors(nodes.select("g", "x", "e"), bucket_ms))
+    reached = written(nodes.groupBy("g").agg(F.min(F.struct("x", "e")).alias("n")).select("g", "n.*"))
+    while True:
+        onward = reached.join(jump, ["g", "x", "e"]).where("nx is not null").select("g", F.col("nx").alias("x"), F.col("ne").alias("e"))
+        onward = written(onward)
+        if onward.isEmpty():
+            break
+        reached = written(reached.union(onward))
+        there = jump.select("g", F.col("x").alias("nx"), F.col("e").alias("ne"), F.col("nx").alias("nx2"), F.col("ne").alias("ne2"))
+        jump = written(jump.where("nx is not null").join(there, ["g", "nx", "ne"]).select("g", "x", "e", F.col("nx2").alias("nx"), F.col("ne2").alias("ne")))
+    # empty intervals overlap with none, so all of a kind are taken
+    picked = nodes.where("e < x").unionByName(rows.where("e = x")).join(reached, ["g", "x", "e"], "left_semi")
+    return picked.select(*(F.col("g")[c].alias(c) for c in by), *(F.col("tie")[c].alias(c) for c in ties), F.col("e").alias(entry), F.col("x").alias(exit_))

@@ -348,8 +348,8 @@ def t04(spark, d):
 
 @_register("r26_non_overlapping")
 def r26(spark, d):
-    e = ticks(spark, d).select("symbol", "user_id", F.col("ts_ms").alias("entry_ms"), (F.col("ts_ms") + (1 + F.col("agg_id") % 48) * HOUR_MS).alias("exit_ms"))
-    return rules.non_overlapping(e, ["symbol", "user_id"], "entry_ms", "exit_ms")
+    e = ticks(spark, d).select("symbol", "user_id", "agg_id", F.col("ts_ms").alias("entry_ms"), (F.col("ts_ms") + (1 + F.col("agg_id") % 48) * HOUR_MS).alias("exit_ms"))
+    return rules.non_overlapping(e, ["symbol", "user_id"], "entry_ms", "exit_ms", ["agg_id"])
 
 
 # ---- inference ----

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -120,6 +122,22 @@ def test_non_overlapping_takes_the_earliest_exit(spark):
     assert got == [(1, 5), (5, 7)]
 
 
+def test_non_overlapping_matches_a_fold(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b", None]), i, t := rng.randrange(300), t + rng.choice([0, 0, 1, 3, 9, 40])) for i in range(500)]
+    e = spark.createDataFrame(rows, "k string, id long, s long, e long")
+    for by in (["k"], []):
+        want = []
+        for k in {r[0] for r in rows} if by else [...]:
+            last = None
+            for x, s, name, i in sorted((x, s, n or "", i) for n, i, s, x in rows if k is ... or n == k):
+                if last is None or s >= last:
+                    want.append((name, i, s, x))
+                    last = x
+        got = rules.non_overlapping(e, by, "s", "e", ["id"] if by else ["k", "id"], 50)
+        assert sorted((r["k"] or "", r["id"], r["s"], r["e"]) for r in got.collect()) == sorted(want)
+
+
 def test_holm_is_monotone(spark):
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "name string, p double")
     got = {r["name"]: round(r["adjusted"], 6) for r in inference.holm(p, "name", "p").collect()}
