@@ -51,12 +51,21 @@ def s04(spark, d):
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if("rejected").alias("rejected"), (F.round(F.sum(F.when(~F.col("rejected"), F.col("price") * F.col("qty")).otherwise(F.lit(0.0))), 2) + F.lit(0.0)).alias("notional"))
 
 
-@_register("s06_positional_bars", f"with {candles_sql()} select open_time_ms, open, high, low, close, volume, close_time_ms, trade_count from candles where symbol = 'A'")
-def s06(spark, d):
-    c = candles(spark, d).where("symbol = 'A'")
+def _bodies(c: DataFrame) -> DataFrame:
+    """Symbol and REST body of each candle."""
     text = lambda x: F.col(x).cast("string")
     body = F.to_json(F.array(F.array(*(text(x) for x in ("open_time_ms", "open", "high", "low", "close", "volume", "close_time_ms", "quote_volume", "trade_count", "taker_quote", "taker_quote")))))
-    return decode.positional_bars(c.select(body.alias("body")))
+    return c.select("symbol", body.alias("body"))
+
+
+@_register("s06_positional_bars", f"with {candles_sql()} select open_time_ms, open, high, low, close, volume, close_time_ms, trade_count from candles where symbol = 'A'")
+def s06(spark, d):
+    return decode.positional_bars(_bodies(candles(spark, d).where("symbol = 'A'")))
+
+
+@_register("s06_positional_bars_all", f"with {candles_sql()} select symbol, open_time_ms, open, high, low, close, volume, close_time_ms, trade_count from candles")
+def s06_all(spark, d):
+    return decode.positional_bars(_bodies(candles(spark, d)), ("symbol",))
 
 
 @_register("s12_upsert", "with u as (select o_orderkey, o_totalprice, o_orderdate, 0 as v from orders union all select o_orderkey, o_totalprice + 1, o_orderdate, 1 from orders where o_orderkey % 3 = 0), k as (select *, row_number() over (partition by o_orderkey order by v desc) as n from u) select o_orderkey, o_totalprice, v from k where n = 1")

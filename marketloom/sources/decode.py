@@ -26,11 +26,11 @@ def decode(lines: DataFrame) -> DataFrame:
     return x.select("raw", "kind", F.col("v.s").alias("symbol"), F.col("v.T").alias("ts_ms"), F.col("v.a").alias("agg_id"), "price", "qty", F.col("v.m").alias("is_buyer_maker"), F.coalesce(bad, F.lit(True)).alias("rejected"))
 
 
-def positional_bars(rows: DataFrame) -> DataFrame:
-    """REST bars, arrays of at least eleven fields in fixed places."""
-    x = rows.select(F.explode(F.from_json("body", "array<array<string>>")).alias("r")).where("size(r) >= 11")
+def positional_bars(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """REST bars, arrays of at least eleven fields in fixed places, after the ``keys`` of their rows."""
+    x = rows.select(*keys, F.explode(F.from_json("body", "array<array<string>>")).alias("r")).where("size(r) >= 11")
     f = lambda i, kind: F.try_element_at("r", F.lit(i + 1)).try_cast(kind)
-    return x.select(f(0, "long").alias("open_time_ms"), f(1, "double").alias("open"), f(2, "double").alias("high"), f(3, "double").alias("low"), f(4, "double").alias("close"), f(5, "double").alias("volume"), f(6, "long").alias("close_time_ms"), f(8, "long").alias("trade_count"))
+    return x.select(*keys, f(0, "long").alias("open_time_ms"), f(1, "double").alias("open"), f(2, "double").alias("high"), f(3, "double").alias("low"), f(4, "double").alias("close"), f(5, "double").alias("volume"), f(6, "long").alias("close_time_ms"), f(8, "long").alias("trade_count"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:

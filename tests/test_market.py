@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from marketloom.functions import scalars
 from marketloom.operators import clean, coverage, inference, joins, kernels, metrics, rules, series
+from marketloom.plans import market
 
 STEP = 300_000
 
@@ -138,6 +140,18 @@ def test_non_overlapping_matches_a_fold(spark):
         assert sorted((r["k"] or "", r["id"], r["s"], r["e"]) for r in got.collect()) == sorted(want)
 
 
+def test_positional_bars_decode_every_symbol(spark):
+    d = "/root/testdata/sf0.001"
+    sql, rows = market._oracles["s06_positional_bars_all"], market._queries["s06_positional_bars_all"](spark, d)
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+    want = sorted(con.execute(sql).fetchall())
+    got = sorted(map(tuple, rows.collect()))
+    assert len({r[0] for r in want}) == 3 and len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+
+
 def test_holm_is_monotone(spark):
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "name string, p double")
     got = {r["name"]: round(r["adjusted"], 6) for r in inference.holm(p, "name", "p").collect()}
