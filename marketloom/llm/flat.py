@@ -123,18 +123,19 @@ def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values the position of its leftmost smallest.
-
-    Values are compared by their leading bits and ties go to the left, so the
-    choice depends only on what the window holds.
-    """
+    """For each window of ``width`` values the position of its leftmost smallest; it depends only on what the window holds."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    mask = _U((1 << int(len(values)).bit_length()) - 1)
     pad = -len(values) % width
-    grid = np.concatenate([(values & ~mask) | np.arange(len(values), dtype=np.uint64), np.full(pad, np.iinfo(np.uint64).max, np.uint64)])
-    grid = grid.reshape(-1, width)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(right[:n], left[width - 1 : width - 1 + n]) & mask).astype(np.int64)
+    grid = np.concatenate([values, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    place = np.arange(grid.size).reshape(-1, width)
+    # from the left edge of each block the first smallest, from its right edge the one furthest left
+    left = np.minimum.accumulate(grid, axis=1)
+    fresh = np.ones(grid.shape, bool)
+    np.less(left[:, 1:], left[:, :-1], out=fresh[:, 1:])
+    left_at = np.maximum.accumulate(np.where(fresh, place, 0), axis=1).ravel()
+    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
+    right_at = np.minimum.accumulate(np.where(grid == right, place, grid.size)[:, ::-1], axis=1)[:, ::-1].ravel()
+    left, right = left.ravel()[width - 1 : width - 1 + n], right.ravel()[:n]
+    return np.where(right <= left, right_at[:n], left_at[width - 1 : width - 1 + n])

@@ -8,8 +8,9 @@ on the input.
    hashed k-byte grams.  Equal strings have equal anchors at equal places, so
    the strings of one anchor are one short interval of starts, and counting
    anchors tells which intervals can hold a repeat at all.
-2. Anchors whose intervals have the same bytes repeat as a whole.  Where an
-   anchor has different intervals, one copy of each goes to the suffix sort.
+2. Anchors whose intervals have the same bytes (digests of 128 bits) repeat as
+   a whole.  Where an anchor has different intervals, one copy of each goes to
+   the suffix sort.
 3. The suffix sort is the two-stage one: suffixes smaller than their
    successors are sorted directly (by eight bytes at a time, common parts
    skipped), all others are induced from them by scanning the buckets of first
@@ -17,22 +18,27 @@ on the input.
    array then tell the repeated strings.
 4. The intervals come back to their documents, overlapping ones are joined.
 
-Texts move twice, compressed.  No task holds more than a batch of texts, but
-for the distinct intervals of one anchor, which are sorted together.
+Texts move twice, compressed.  No task holds more than a batch of texts and
+``MOST_INTERVALS`` intervals of one anchor: the strings of an anchor with more
+distinct intervals are counted one by one, by digests of 128 bits.  Anchors and
+intervals with very many rows are split over tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import flatten, gram_hash, mix, prefix_hash, slices, sliding_argmin, span_hash
-from .tables import join_bytes, packed, unpack, with_row_key, written
+from .flat import flatten, gram_hash, prefix_hash, slices, sliding_argmin
+from .tables import join_bytes, packed, salted_join, unpack, with_row_key, written
 
 LENGTH = 400
 BATCH_BYTES = 2 << 20
+#: Anchors with more distinct intervals have their strings counted instead of sorted together; the results are the same.
+MOST_INTERVALS = 4096
 _VOID = np.zeros(0, np.int64)
 
 
@@ -41,8 +47,14 @@ def anchor_gram(length: int) -> int:
     return max(1, length // 3)
 
 
+def digests(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Digests of 128 bits, as two longs each, of the spans [start, end)."""
+    data, digest = memoryview(x), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(data[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def anchor_intervals(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """The intervals of string starts by anchor: gram hash, interval hash, row, first start in the row, number of starts."""
+    """The intervals of string starts by anchor: gram hash, interval digest (two halves), row, first start in the row, number of starts."""
     k = anchor_gram(length)
     out: list[tuple[np.ndarray, ...]] = []
     for a, b in slices(off):
@@ -60,11 +72,11 @@ def anchor_intervals(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         last = np.append(first[1:], len(starts)) - 1
         left, right, anchor = starts[first], starts[last], anchor[first]
-        piece = span_hash(prefix, left, right + length) ^ mix((anchor - left).astype(np.uint64))
+        piece = digests(x, left, right + length)
         row = np.searchsorted(o, left, "right") - 1
-        out.append((grams[anchor].view(np.int64), piece.view(np.int64), row + a, left - o[row], right - left + 1))
+        out.append((grams[anchor].view(np.int64), piece[:, 0], piece[:, 1], row + a, left - o[row], right - left + 1))
     if not out:
-        return (_VOID,) * 5
+        return (_VOID,) * 6
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -234,7 +246,7 @@ def _runs(mark: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> tuple[np.n
     return of, start - first[of], end - first[of]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST_INTERVALS) -> DataFrame:
     """(row_key, spans: sorted array of the joined [start, end) byte spans that repeat) of documents with any."""
     if length < 2:
         raise ValueError("length must be at least 2")
@@ -242,26 +254,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def intervals(batches):
         for batch in batches:
-            keys = batch.column("row_key").to_numpy(zero_copy_only=False)
-            gram, piece, row, start, n = anchor_intervals(*flatten(batch.column("text")), length)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(piece), pa.array(keys[row]), pa.array(start), pa.array(n)], ["gram", "piece", "row_key", "start", "n"])
+            gram, piece, piece2, row, start, n = anchor_intervals(*flatten(batch.column("text")), length)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(piece), pa.array(piece2), batch.column("row_key").take(pa.array(row)), pa.array(start), pa.array(n)], ["gram", "piece", "piece2", "row_key", "start", "n"])
 
-    found = keyed.select("row_key", "text").mapInArrow(intervals, "gram long, piece long, row_key long, start long, n long")
-    grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("piece").alias("p"), F.max("piece").alias("q")).where("c > 1")
-    repeated = written(found.join(grams.select("gram", (F.col("p") != F.col("q")).alias("mixed")), "gram"))
+    found = keyed.select("row_key", "text").mapInArrow(intervals, "gram long, piece long, piece2 long, row_key binary, start long, n long")
+    alike = (F.min("piece") == F.max("piece")) & (F.min("piece2") == F.max("piece2"))
+    grams = written(found.groupBy("gram").agg(F.count("*").alias("c"), (~alike).alias("mixed")).where("c > 1"))
+    repeated = written(salted_join(found, grams, ["gram"], "c", "row_key"))
     mixed = repeated.where("mixed")
-    pieces = written(mixed.groupBy("gram", "piece").agg(F.count("*").alias("c"), F.min(F.struct("row_key", "start", "n")).alias("at")))
-    open_grams = pieces.where("c = 1").select("gram").distinct()
-    ask = pieces.join(open_grams, "gram", "left_semi").select("gram", "piece", "c", "at.*")
+    names = ["gram", "piece", "piece2"]
+    pieces = written(mixed.groupBy(*names).agg(F.count("*").alias("c"), F.min(F.struct("row_key", "start", "n")).alias("at")))
+    kinds = pieces.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
+    kinds = written(kinds.where("single > 0").select("gram", "kinds", (F.col("kinds") > most).alias("many")))
+    ask = salted_join(pieces, kinds, ["gram"], "kinds", "piece").select("gram", (F.col("c") == 1).alias("single"), "many", "at.*")
 
     def cut(batches):
         for batch in batches:
             texts = unpack(batch.column("packed"))
             start, n = (batch.column(c).to_numpy() for c in ("start", "n"))
             part = [t[s : s + m + length - 1] for t, s, m in zip(texts, start, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("gram", "c", "row_key", "start", "n")), pa.array(part, pa.binary())], ["gram", "c", "row_key", "start", "n", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(part, pa.binary())], [*kept, "part"])
+
+    kept = ("gram", "single", "many", "row_key", "start", "n")
+    parts = written(packed(keyed, ["row_key", "text"]).join(ask, "row_key").mapInArrow(cut, "gram long, single boolean, many boolean, row_key binary, start long, n long, part binary"))
 
-    parts = packed(keyed, ["row_key", "text"]).join(ask, "row_key").mapInArrow(cut, "gram long, c long, row_key long, start long, n long, part binary")
+    def strings(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                x, off = flatten(part.column("part"))
+                n = part.column("n").to_numpy()
+                of = np.repeat(np.arange(len(n)), n)
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = digests(x, off[of] + at, off[of] + at + length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(both[:, 0]), pa.array(both[:, 1]), part.column("single").take(pa.array(of)), part.column("row_key").take(pa.array(of)), pa.array(part.column("start").to_numpy()[of] + at)], ["h", "h2", "single", "row_key", "s"]
+                )
+
+    each = written(parts.where("many").select("single", "row_key", "start", "n", "part").mapInArrow(strings, "h long, h2 long, single boolean, row_key binary, s long"))
+    often = written(each.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1"))
+    counted = salted_join(each.where("single"), often, ["h", "h2"], "c", "row_key").select("row_key", "s", (F.col("s") + length).alias("e"))
 
     def sort(batches):
         def solve(tables):
@@ -269,10 +301,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             text, off = join_bytes([x.as_py() for x in t["part"]])
             n = t["n"].to_numpy()
             of, a, b = _runs(repeated_starts(text, off, n, length)[: len(text)], off[:-1], n)
-            single = t["c"].to_numpy()[of] == 1
+            single = t["single"].to_numpy()[of]
             of, a, b = of[single], a[single], b[single]
             start = t["start"].to_numpy()[of]
-            return pa.RecordBatch.from_arrays([pa.array(t["row_key"].to_numpy()[of]), pa.array(start + a), pa.array(start + b + length)], ["row_key", "s", "e"])
+            return pa.RecordBatch.from_arrays([t["row_key"].take(pa.array(of)).combine_chunks(), pa.array(start + a), pa.array(start + b + length)], ["row_key", "s", "e"])
 
         have, size, tail = [], 0, None
         for batch in batches:
@@ -296,15 +328,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if have:
             yield solve(have)
 
-    partial = parts.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "row_key long, s long, e long")
+    partial = parts.where("not many").select("gram", "single", "row_key", "start", "n", "part").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "row_key binary, s long, e long")
     whole = repeated.where("not mixed").select("row_key", "start", "n").union(
-        mixed.join(pieces.where("c > 1").select("gram", "piece"), ["gram", "piece"]).select("row_key", "start", "n")
+        salted_join(mixed, pieces.where("c > 1").select(*names, "c"), names, "c", "row_key").select("row_key", "start", "n")
     ).select("row_key", F.col("start").alias("s"), (F.col("start") + F.col("n") + (length - 1)).alias("e"))
-    spans = whole.union(partial).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("raw"))
+    spans = whole.union(partial).union(counted).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("raw"))
     return spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, most: int = MOST_INTERVALS) -> DataFrame:
     """Documents without the bytes of any repeated string of ``length`` bytes.
 
     Returns doc_id, n_bytes, kept (binary: remaining bytes in order), spans
@@ -314,7 +346,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``length`` stay whole; an empty table gives an empty result; other columns
     are ignored.
     """
-    spans = repeated_spans(docs, length)
+    spans = repeated_spans(docs, length, most)
     keyed = packed(with_row_key(docs.select("doc_id", "text")), ["doc_id", "row_key", "text"])
 
     def finish(batches):
@@ -344,11 +376,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; then whether anything repeats, and the text that is left.
+
+    ``text`` holds U+FFFD where a removed string began or ended inside a character.
+    """
+    n_removed = (F.col("n_bytes") - F.length("kept")).cast("long")
     return suffix_dedup(docs).select(
         "doc_id",
         "n_bytes",
-        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        n_removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (n_removed > 0).alias("repeats"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..stored import shared_folder, written  # noqa: F401 (the corpus operators take them from here)
@@ -29,9 +29,46 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
+def row_key() -> Column:
+    """A digest of 128 bits of doc_id and text: rows alike in both, nulls among them, share it."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.concat(F.lit("+"), F.col("text")), F.lit("")))
+    return F.unhex(F.md5(key)).alias("row_key")
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds ``row_key``, a hash of doc_id and text: rows alike in both share it."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """Adds ``row_key``."""
+    return docs.withColumn("row_key", row_key())
+
+
+#: Keys that hold more than one in so many of the rows are split over several tasks; there are at most as many.
+HOT_PARTS = 2000
+
+
+def salted_join(rows: DataFrame, right: DataFrame, keys: list[str], count: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``right``, which has each key once and in ``count`` its number of rows; ``count`` is dropped.
+
+    Rows of a key with over 1 / HOT_PARTS of all rows are dealt by a hash of
+    ``spread`` over as many salts as bring them below that share, and the key's
+    row of ``right`` is repeated as often.  So many keys there can be at most
+    HOT_PARTS of, which bounds the broadcast of their names; all rows stay.
+    ``right`` should be a written table, as it is read twice.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    part = total // HOT_PARTS + 1
+    salts = F.ceil(F.col(count) / part)
+    hot = right.where(F.col(count) > part).select(*keys, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    again = F.when(F.col(count) > part, F.sequence(F.lit(0), (salts - 1).cast("int"))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(again)).drop(count), [*keys, "_salt"], how).drop("_salt")
+
+
+#: Up to so many rows of keys and flags are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(right: DataFrame) -> DataFrame:
+    """A written table of keys and flags with the hint that suits its counted size."""
+    return F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("shuffle_hash")
 
 
 def packed(docs: DataFrame, columns: list[str]) -> DataFrame:
