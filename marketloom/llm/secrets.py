@@ -2,23 +2,31 @@
 
 Each rule's regex gives a Boolean trigram query: every run of literals that all
 its matches hold must be there, in one of its spellings, and so must all
-trigrams of that spelling.  Postings (trigram, document) of the trigrams asked
-for are intersected by document; only documents that satisfy a rule's query
-are searched with its regex.  Rules without mandatory trigrams search all.
+trigrams of that spelling.  One pass over a text gives its trigrams among those
+asked for.  The index holds, for each block of documents and trigram, the list
+of documents that have it; a rule's query intersects and unites these posting
+lists block by block, so no list grows with the corpus.  Only documents that are
+left are searched with the rule's regex.  Rules without mandatory trigrams
+search all.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_row_key
+from .tables import row_key, small_or_shuffled, written
 
 MOST_SPELLINGS = 64
+#: Documents of one block of the index, about.
+BLOCK_DOCUMENTS = 4096
+#: Running sums add up whole chunks of so many numbers, and the rest one by one.
+CHUNK = 64
 
 
 @dataclass(frozen=True)
@@ -90,28 +98,58 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return query
 
 
-def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(row_key, trigram) of the trigrams that each document's text holds in either case."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return keyed.select("row_key", F.explode(held).alias("trigram"))
+def any_of(trigrams: list[str]) -> str:
+    """A regex whose zero-width matches stand before each of the trigrams, which are its first group; branches by first letter."""
+    by: dict[str, list[str]] = {}
+    for t in sorted(trigrams):
+        by.setdefault(t[0], []).append(t[1:])
+    first = "".join(map(re.escape, by))
+    return f"(?=[{first}])(?=(" + "|".join(re.escape(c) + "(?:" + "|".join(map(re.escape, rest)) + ")" for c, rest in by.items()) + "))"
+
+
+def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The index (block, trigram, documents: row keys that hold it in either case) of a table of row_key and text."""
+    blocks = docs.count() // BLOCK_DOCUMENTS + 1
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(trigrams)), F.lit(1)))
+    block = F.pmod(F.xxhash64("row_key"), F.lit(blocks)).alias("block")
+    return docs.select(block, "row_key", F.explode(held).alias("trigram")).groupBy("block", "trigram").agg(F.collect_set("row_key").alias("documents"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(row_key, kinds): the rules whose trigram query the document satisfies."""
-    held = index.groupBy("row_key").agg(F.collect_set("trigram").alias("held"))
-    kinds = []
+    """(row_key, kinds): the rules whose trigram query the document satisfies, by intersection of posting lists."""
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "documents"))).alias("lists"))
+    none = F.expr("cast(array() as array<binary>)")
+
+    def of(trigram: str) -> Column:
+        return F.coalesce(F.element_at("lists", F.lit(trigram)), none)
+
+    hits = []
     for rule in rules:
-        query = trigram_query(rule.pattern)
-        if query:
-            fits = F.lit(True)
-            for run in query:
-                any_spelling = F.lit(False)
-                for grams in run:
-                    any_spelling = any_spelling | (F.size(F.array_except(F.array(*map(F.lit, sorted(grams))), F.col("held"))) == 0)
-                fits = fits & any_spelling
-            kinds.append(F.when(fits, F.lit(rule.kind)))
-    return held.select("row_key", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+        runs = []
+        for run in trigram_query(rule.pattern):
+            spellings = [reduce(F.array_intersect, map(of, sorted(grams))) for grams in run]
+            runs.append(reduce(F.array_union, spellings))
+        if runs:
+            kind = F.lit(rule.kind).alias("kind")
+            hits.append(F.transform(reduce(F.array_intersect, runs), lambda k: F.struct(k.alias("row_key"), kind)))  # noqa: B023 (called at once)
+    found = lists.select(F.explode(F.concat(*hits)).alias("x")).select("x.*")
+    return found.groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(numbers: Column) -> Column:
+    """Sums of the first 0, 1, 2 ... of the numbers: chunks first, then the rest of each chunk."""
+
+    def add(array: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(array, start, n), F.lit(0), lambda a, b: a + b)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / CHUNK).cast("int")), lambda c: add(numbers, c * CHUNK + 1, F.lit(CHUNK)))
+    upto = lambda sums: F.transform(F.sequence(F.lit(0), F.size(numbers)), lambda i: add(sums, F.lit(1), F.floor(i / CHUNK).cast("int")) + add(numbers, i - i % CHUNK + 1, i % CHUNK))
+    return _let(chunks, upto)
 
 
 def _spans(rule: Rule, place: int, text: Column) -> Column:
@@ -121,16 +159,17 @@ def _spans(rule: Rule, place: int, text: Column) -> Column:
     whole = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), F.length)
     value = F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), F.length) if rule.group else whole
 
-    def add(array: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(array, F.lit(1), n), F.lit(0), lambda a, b: a + b)
+    def make(x: Column, i: Column) -> Column:
+        start = x["upto_between"][i + 1] + x["upto_whole"][i]
+        return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + x["whole"][i]).alias("end"), x["value"][i].alias("n"))
 
-    def make(lengths: Column, i: Column) -> Column:
-        start = add(lengths["between"], i + 1) + add(lengths["whole"], i)
-        return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + lengths["whole"][i]).alias("end"), lengths["value"][i].alias("n"))
+    def sums(x: Column) -> Column:
+        return F.struct(x["whole"].alias("whole"), x["value"].alias("value"), _running(x["between"]).alias("upto_between"), _running(x["whole"]).alias("upto_whole"))
 
-    # one struct, so that each regex runs once a text
-    lengths = F.transform(F.array(F.struct(between.alias("between"), whole.alias("whole"), value.alias("value"))), lambda x: F.transform(x["whole"], lambda _, i: make(x, i)))[0]
-    return F.transform(F.filter(lengths, lambda s: s["n"] >= rule.least), lambda s: s.dropFields("n"))
+    # bound step by step, so that each regex runs once a text
+    parts = F.struct(between.alias("between"), whole.alias("whole"), value.alias("value"))
+    spans = _let(parts, lambda x: _let(sums(x), lambda y: F.transform(y["whole"], lambda _, i: make(y, i))))
+    return F.transform(F.filter(spans, lambda s: s["n"] >= rule.least), lambda s: s.dropFields("n"))
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
@@ -141,15 +180,15 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     rule are leftmost and do not overlap; those of different rules may.  One
     row per input row; a null text is empty; a null doc_id stays; equal rows
     have equal spans; an empty table gives an empty result; other columns are
-    ignored.  Work grows with a text's length and the square of its matches.
+    ignored.  Work grows with a text's length and CHUNK times its matches.
     """
-    keyed = with_row_key(docs.select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", row_key())
     asked = sorted({t for r in rules for run in trigram_query(r.pattern) for grams in run for t in grams})
     empty = F.expr("cast(array() as array<struct<start:int,place:int,kind:string,end:int>>)")
     kinds = F.lit(None).cast("array<string>")
     if asked:
-        found = candidates(postings(keyed, asked), rules)
-        keyed = keyed.join(found.hint("shuffle_hash"), "row_key", "left")
+        found = written(candidates(postings(keyed.select("row_key", "text"), asked), rules))
+        keyed = keyed.join(small_or_shuffled(found), "row_key", "left")
         kinds = F.col("kinds")
     spans = []
     for place, rule in enumerate(rules):
