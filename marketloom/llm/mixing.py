@@ -6,31 +6,37 @@ rates that meet the source's token target, those nearest in entropy to one copy
 each.  Their odds are tilted exponentially by size,
 ``rate / (2 - rate) = exp(tilt * size)``, and the tilts solve a convex dual,
 one variable per source, by Newton steps over the whole corpus at once: each
-step is an aggregation of a table of (source, size, documents).  Rates become
-whole copies by systematic rounding: running sums of rates along documents of
-similar size, so that a source's tokens come near its target.
+step is an aggregation of a table of (source, size, documents).
+
+Documents of one source and size are a cell and share a rate.  Rates become
+whole copies cell by cell, from large documents to small ones, and what a cell's
+rounding takes too much or too little goes to the next; so the small documents
+settle the rest of their source.  Inside a cell the further copies go to the
+documents of the smallest hashes.
 
 Sums are of whole numbers, so the result does not depend on the order of tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import with_row_key, written
+from .tables import row_key, small_or_shuffled, with_row_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BUDGET_PERCENT = 150
 MOST_COPIES = 2
-#: Rates are whole multiples of 1 / SCALE, and sums of rate * size of 1 / SUM_SCALE.
-SCALE = 1 << 30
+#: Sums of rate * size are of whole multiples of 1 / SUM_SCALE.
 SUM_SCALE = 1 << 16
-NEWTON_STEPS = 40
+NEWTON_STEPS = 200
 #: A source's tilt is final when its rates' tokens are within this share of its target.
 TOLERANCE = 1e-4
-SALTS = 64
+#: Documents of a cell are ranked in parts of about so many.
+PART_ROWS = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -73,7 +79,8 @@ def _rate(tilt: Column, size: Column, mean: Column) -> Column:
 def tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, mean, tilt, filled) by Newton steps on the dual, kept inside a shrinking bracket.
 
-    ``filled`` marks sources whose target is all they can give.
+    ``filled`` marks sources whose target is all they can give.  A dual that
+    is not solved after NEWTON_STEPS is an error.
     """
     docs = histogram.groupBy("source").agg(F.sum("docs").alias("n"))
     state = targets.join(docs, targets["source"].eqNullSafe(docs["source"])).select(
@@ -87,9 +94,11 @@ def tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
         F.lit(False).alias("met"),
     )
     state = written(state)
-    for _ in range(NEWTON_STEPS):
-        if not state.where("not filled and not met").limit(1).count():
-            break
+    steps = 0
+    while state.where("not filled and not met").limit(1).count():
+        steps += 1
+        if steps > NEWTON_STEPS:
+            raise RuntimeError(f"tilts of some sources not found in {NEWTON_STEPS} steps")
         s = state.withColumnRenamed("source", "of")
         rows = histogram.join(s, histogram["source"].eqNullSafe(F.col("of")))
         rate = _rate(F.col("tilt"), F.col("size"), F.col("mean"))
@@ -107,47 +116,87 @@ def tilts(histogram: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "mean", "tilt", "filled")
 
 
+def cell_copies(cells: DataFrame) -> DataFrame:
+    """(source, size, docs, rate, target) -> (source, size, copies): whole copies of each cell, from 0 to 2 a document.
+
+    One scan of a source's sizes, whose number grows with the square root of
+    its words at most, however many documents it has.
+    """
+
+    def scan(table: pa.Table) -> pa.Table:
+        order = np.argsort(-table["size"].to_numpy(), kind="stable")
+        size, docs, rate = (table[c].to_numpy()[order] for c in ("size", "docs", "rate"))
+        copies = np.zeros(len(size), np.int64)
+        # what rates alone miss of the target is spread over the cells in proportion to their words
+        words = rate * docs * size
+        scale = table["target"][0].as_py() / words.sum() if words.sum() else 1.0
+        carry = 0.0
+        for i, (n, d, w) in enumerate(zip(size.tolist(), docs.tolist(), (words * scale).tolist(), strict=True)):
+            if n == 0:
+                copies[i] = d
+                continue
+            carry += w
+            copies[i] = min(MOST_COPIES * d, max(0, int(np.floor(carry / n + 0.5))))
+            carry -= copies[i] * n
+        return pa.table({"source": table["source"].combine_chunks().take(pa.array(order)), "size": size, "copies": copies})
+
+    return cells.groupBy("source").applyInArrow(scan, "source string, size long, copies long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT) -> DataFrame:
     """Copies of each document in the mix.
 
     Returns doc_id, row_key, size (words), source, source_size, target (both of
     the source), copies (0 to 2) and taken (copies * size), one row per input
-    row.  A null text has size 0; null sources are one source, the last; texts
-    without words have rate 1; a source without words has target 0; equal rows may get
-    different copies, but as a set always the same; an empty table gives an
-    empty result; other columns are ignored.
+    row.  A source's taken words differ from its target by half of its smallest
+    document at most, unless its small documents are too few to settle what the
+    large ones leave.  A null text has size 0; null sources are one source, the
+    last; texts without words are taken once; a source without words has target
+    0; equal rows may get different copies, but as a set always the same, and so
+    does any order of rows; an empty table gives an empty result; other columns
+    are ignored.
     """
-    base = written(with_row_key(sized(docs.select("doc_id", "source", "text"))).select("doc_id", "row_key", "source", "size"))
+    base = written(with_row_key(sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"))).select("doc_id", "row_key", "source", "size"))
     histogram = written(base.groupBy("source", "size").agg(F.count("*").alias("docs")))
     totals = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("total"))
     targets = written(source_targets(totals, weights, budget_percent))
     tilt = tilts(histogram, targets).toDF("s1", "mean", "tilt", "filled")
     plan = targets.join(tilt, F.col("source").eqNullSafe(F.col("s1"))).select(F.col("source").alias("of"), F.col("total").alias("source_size"), "target", "mean", "tilt", "filled")
-    x = base.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    rate = F.when(F.col("filled") & (F.col("size") > 0), F.lit(2.0)).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean")))
+    cells = histogram.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    rate = F.when(F.col("filled") & (F.col("size") > 0), F.lit(float(MOST_COPIES))).otherwise(_rate(F.col("tilt"), F.col("size"), F.col("mean")))
+    copies = cell_copies(cells.select("source", "size", "docs", "target", rate.alias("rate"))).select(F.col("source").alias("of"), F.col("size").alias("cell"), "copies")
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("cell"))
+    cells = written(cells.drop("of").join(copies, same).select("source", "size", "docs", "copies", "source_size", "target"))
+    # a document's rank in its cell: those in parts of smaller hashes, then those before it in its own part
+    largest = cells.agg(F.max("docs")).first()[0] or 1
+    parts = 1 << max(0, (int(largest) // PART_ROWS).bit_length())
     key = F.xxhash64("row_key")
-    x = x.withColumns({"rate": F.round(rate * SCALE).cast("long"), "key": key, "salt": F.pmod(key, F.lit(SALTS)), "band": F.floor(F.log2(F.col("size") + F.lit(1.0)) * 8).cast("int")})
-    x = written(x.select("doc_id", "row_key", "size", "source", "source_size", "target", "rate", "key", "salt", "band"))
-    # where each cell of a source begins in the running sum of rates; a source has at most SALTS cells a band
-    cells = x.groupBy("source", "band", "salt").agg(F.sum("rate").alias("cell_rate"))
-    along = Window.partitionBy("source").orderBy("band", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("source").alias("of"), F.col("band").alias("b"), F.col("salt").alias("s"), F.coalesce(F.sum("cell_rate").over(along), F.lit(0)).alias("begin"))
-    x = x.join(cells, F.col("source").eqNullSafe(F.col("of")) & (F.col("band") == F.col("b")) & (F.col("salt") == F.col("s")))
-    inside = Window.partitionBy("source", "band", "salt").orderBy("size", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("upto", F.col("begin") + F.sum("rate").over(inside) + F.lit(SCALE // 2))
-    copies = (F.shiftright("upto", 30) - F.shiftright(F.col("upto") - F.col("rate"), 30)).cast("int")
-    return x.select("doc_id", "row_key", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    x = base.withColumns({"key": key, "part": F.pmod(key, F.lit(parts)).cast("int")})
+    by_part = x.groupBy("source", "size", "part").agg(F.count("*").alias("rows"))
+    along = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = by_part.withColumn("begin", F.coalesce(F.sum("rows").over(along), F.lit(0))).withColumnsRenamed({"source": "of", "size": "cell"})
+    parted = by_part.join(cells, same).select(F.col("of"), F.col("cell"), F.col("part").alias("p"), "begin", "docs", "copies", "source_size", "target")
+    x = x.join(parted, same & (F.col("part") == F.col("p")))
+    inside = Window.partitionBy("source", "size", "part").orderBy("key", "row_key")
+    rank = F.col("begin") + F.row_number().over(inside) - 1
+    base_copies = F.floor(F.col("copies") / F.col("docs"))
+    own = (base_copies + (rank < F.col("copies") - base_copies * F.col("docs")).cast("int")).cast("int")
+    return x.select("doc_id", "row_key", "size", "source", "source_size", "target", own.alias("copies")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = BUDGET_PERCENT) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+    """``docs`` with each row as often as the mix takes it, with all its columns.
+
+    Rows alike in doc_id and text stand for each other, so the copies of one of
+    them may carry the other columns of another; null texts, nulls in other
+    columns, ties and empty tables as in ``mix``; other columns may have any names.
+    """
     plan = written(mix(docs, weights, budget_percent).select("row_key", "copies"))
-    total = plan.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*docs.columns).alias("whole"))
-    if total.where("_rows > 1").limit(1).count():  # rows alike in doc_id and text stand for each other
+    total = written(plan.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
+    keyed = docs.select(row_key(), F.struct(*docs.columns).alias("whole"))
+    if total.where("_rows > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["row_key"])
-    taken = total.where("_copies > 0").select("row_key", "_copies").hint("shuffle_hash")
-    out = keyed.join(taken, "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    out = keyed.join(small_or_shuffled(total.where("_copies > 0").select("row_key", "_copies")), "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return out.select("whole.*")
 
 

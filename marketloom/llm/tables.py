@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,20 +13,11 @@ from pyspark.sql import functions as F
 from ..stored import shared_folder, written  # noqa: F401 (the corpus operators take them from here)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            out = function(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
-
-    return df.mapInArrow(run, schema)
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, which bounds what Python holds at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def row_key() -> Column:
@@ -63,7 +54,7 @@ def salted_join(rows: DataFrame, right: DataFrame, keys: list[str], count: str,
 
 
 #: Up to so many rows of keys and flags are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def small_or_shuffled(right: DataFrame) -> DataFrame:
