@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import SPACE, flatten, lines, prefix_hash, slices, span_hash
-from .tables import packed, unpack, with_row_key, written
+from .tables import packed, parts, row_key, salted_join, unpack, with_row_key, written
 
 #: A block with fewer bytes other than white space stays, unless it is the whole later document.
 BLOCK_BYTES = 8
@@ -140,9 +140,9 @@ def _lined(keyed: DataFrame, least: int) -> DataFrame:
     fields = {"hashes": "long", "sizes": "int", "starts": "int", "ends": "int", "runs": "long", "held": "long"}
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1024):
             buf, off = flatten(batch.column("text"))
-            parts, counts = [], []
+            found, counts = [], []
             for lo, hi in slices(off):
                 x, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 a, b, row = lines(x, o)
@@ -159,19 +159,19 @@ def _lined(keyed: DataFrame, least: int) -> DataFrame:
                 # a short document goes with the blank lines around its run
                 short = np.bincount(row, size, hi - lo)[r] < least
                 s, e = np.where(short, 0, s - first[r]), np.where(short, count[r], e - first[r])
-                parts.append((span_hash(prefix, a, b).view(np.int64), size, s, e, *hashed))
+                found.append((span_hash(prefix, a, b).view(np.int64), size, s, e, *hashed))
                 n, m = np.bincount(r, minlength=hi - lo), np.bincount(r2, minlength=hi - lo)
                 counts.append((count, count, n, n, n, m))
-            if not parts:
+            if not found:
                 continue
             arrays = []
-            for kind, found, count in zip(fields.values(), zip(*parts, strict=True), zip(*counts, strict=True), strict=True):
+            for kind, values, count in zip(fields.values(), zip(*found, strict=True), zip(*counts, strict=True), strict=True):
                 at = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(count))]), pa.int32())
-                arrays.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(found).astype(np.int64 if kind == "long" else np.int32))))
+                arrays.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(values).astype(np.int64 if kind == "long" else np.int32))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *arrays], ["doc_id", "row_key", *fields])
 
     kind = dict(keyed.dtypes)["doc_id"]
-    return keyed.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long" + "".join(f", {k} array<{v}>" for k, v in fields.items()))
+    return keyed.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key binary" + "".join(f", {k} array<{v}>" for k, v in fields.items()))
 
 
 def shared_lines(keyed: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
@@ -182,22 +182,25 @@ def shared_lines(keyed: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
     asks = once.select("doc_id", "row_key", F.explode(F.array_distinct("runs")).alias("run"))
     answers = once.where("size(held) > 0").select("doc_id", "row_key", F.explode(F.array_distinct("held")).alias("run"))
     hold = asks.select("*", F.lit(1).alias("asked")).union(answers.select("*", F.lit(0).alias("asked")))
-    # as a table of its own, so that the join shuffles apart from the aggregate and a run of many holders is split
-    first = written(hold.groupBy("run").agg(F.count("*").alias("holders"), F.sum("asked").alias("asked"), F.min(me).alias("first")).where("holders > 1 and asked > 0").select("run", "first"))
-    links = asks.join(first, "run").where("first.row_key <> row_key").select("row_key", F.col("first.row_key").alias("partner")).distinct()
+    first = written(hold.groupBy("run").agg(F.count("*").alias("holders"), F.sum("asked").alias("asked"), F.min(me).alias("first")).where("holders > 1 and asked > 0").select("run", "holders", "first"))
+    links = salted_join(asks, first, ["run"], "holders", "row_key").where("first.row_key <> row_key").select("row_key", F.col("first.row_key").alias("partner"))
+    links = written(links.distinct())
     mine = links.join(once.select("row_key", "hashes", "sizes", "starts", "ends", "runs"), "row_key")
-    both = mine.join(once.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs"), F.concat("runs", "held").alias("known")), "partner")
+    # a partner of many documents, such as the first holder of a very common line, is split over tasks
+    asked = links.groupBy("partner").agg(F.count("*").alias("links"))
+    theirs = once.select(F.col("row_key").alias("partner"), F.col("hashes").alias("theirs"), F.concat("runs", "held").alias("known")).join(asked, "partner")
+    both = salted_join(mine, theirs, ["partner"], "links", "row_key")
 
     def align(batches):
         names = ("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known")
-        for batch in batches:
+        for batch in parts(batches):
             keys, *columns = (batch.column(c) for c in names)
             gone = []
             for a, b, n, s, e, r, known in zip(*(c.to_pylist() for c in columns), strict=True):
                 gone.append(sorted({*shared_blocks(a, b, n, least), *shared_runs(s, e, r, set(known), len(a))}))
             yield pa.RecordBatch.from_arrays([keys, pa.array(gone, pa.list_(pa.int32()))], ["row_key", "gone"])
 
-    pairs = both.select("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known").mapInArrow(align, "row_key long, gone array<int>")
+    pairs = both.select("row_key", "hashes", "theirs", "sizes", "starts", "ends", "runs", "known").mapInArrow(align, "row_key binary, gone array<int>")
     return pairs.where("size(gone) > 0").groupBy("row_key").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
@@ -216,19 +219,19 @@ def line_dedup(docs: DataFrame, least: int = BLOCK_BYTES) -> DataFrame:
     gone = shared_lines(keyed, least)
     # other columns travel in one struct, so that their names clash with none
     others = F.struct(F.lit(0).alias("_"), *(F.col(c) for c in names if c != "text")).alias("others")
-    small = packed(docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", others), ["row_key", "others"])
+    small = packed(docs.select(row_key(), "text", others), ["row_key", "others"])
 
     def cut(batches):
-        for batch in batches:
+        for batch in parts(batches):
             texts, n_lines, n_removed = [], [], []
             valid = batch.column("packed").is_valid().to_pylist()
             for text, drop, ok in zip(unpack(batch.column("packed")), batch.column("gone").to_pylist(), valid, strict=True):
-                parts = text.split(b"\n") if ok else []
-                n_lines.append(len(parts))
+                rows = text.split(b"\n") if ok else []
+                n_lines.append(len(rows))
                 n_removed.append(len(drop or ()))
                 if drop:
                     out = set(drop)
-                    text = b"\n".join(p for i, p in enumerate(parts) if i not in out)
+                    text = b"\n".join(p for i, p in enumerate(rows) if i not in out)
                 texts.append(text if ok else None)
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column("others").field(c) for c in names), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed"]
