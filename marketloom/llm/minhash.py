@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, flatten, mix, prefix_hash, slices, span_hash, words
-from .tables import components, join_bytes, packed, unpack, with_row_key, written
+from .tables import components, join_bytes, packed, row_key, salted_join, small_or_shuffled, unpack, with_row_key, written
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -126,7 +126,7 @@ def _classify(docs: DataFrame, size: int, collections: int, rows: int) -> DataFr
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key long, n_shingles long, node long, groups array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key binary, n_shingles long, node long, groups array<long>")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -145,9 +145,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     keep[lo + i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    a, b = (texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = written(pairs)
+    sizes = texts.select("node", "n")
+    # pairs that can be similar by their sizes; then the hub of a large group, which has many, is split over tasks
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    for x in "ab":
+        pairs = salted_join(pairs, written(sizes.toDF(x, f"n_{x}").join(pairs.groupBy(x).agg(F.count("*").alias("links")), x)), [x], "links", "b" if x == "a" else "a")
+    pairs = written(pairs.where(near).select("a", "b"))
+    for x in "ab":
+        side = texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("links")), x)
+        pairs = salted_join(pairs, side, [x], "links", "b" if x == "a" else "a")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -235,20 +243,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-#: Up to so many dropped keys (8 bytes each) are sent to every task; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-
-
 def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest doc_id.
 
     Rows equal in doc_id and text become one, unless they have no words.
     """
     flags = written(near_duplicates(docs.select("doc_id", "text"), size, percent))
-    dropped = flags.where("not kept").select("row_key").distinct()
-    few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    whole = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.struct(*docs.columns).alias("whole"))
-    kept = whole.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), "row_key", "left_anti")
+    dropped = written(flags.where("not kept").select("row_key").distinct())
+    whole = docs.select(row_key(), F.struct(*docs.columns).alias("whole"))
+    kept = whole.join(small_or_shuffled(dropped), "row_key", "left_anti")
     again = flags.where("n_shingles > 0 and doc_id is not null").groupBy("row_key").count().where("count > 1").select("row_key")
     if again.limit(1).count():
         kept = kept.join(again, "row_key", "left_anti").unionByName(kept.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
