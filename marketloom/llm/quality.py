@@ -23,8 +23,8 @@ from .tables import written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A group's own sketch counts from so many documents on; below, its language's or all documents' does.
-MIN_GROUP = 200
+#: The documents that the sketch of a group's language weighs beside the group's own, and that of all beside a language's.
+PRIOR = 25
 #: Relative width of a sketch bin, and the smallest ratio told from zero.
 BIN_WIDTH = 1.02
 SMALLEST = 1e-4
@@ -134,15 +134,24 @@ def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     return found.withColumn("step", F.max(F.when(F.col("ratio") == "per_word", F.col("q9"))).over(Window.partitionBy(*by)))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, and the bounds low_<ratio> and high_<ratio> of each group; null where all sketches are of one value."""
-    mine = F.struct("n", "q1", "q2", "q3", "step")
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source, and the bounds low_<ratio> and high_<ratio> of each group; null where all sketches are of one value.
+
+    A group's quantiles are blended with those of its language, which count as
+    ``prior`` documents, and a language's with those of all in the same way.
+    """
+    names = ("q1", "q2", "q3", "step")
+    mine = F.struct("n", *names)
     own = _quantiles(sketch, ["lang", "source"])
     lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), mine.alias("by_lang"))
     every = _quantiles(sketch, []).select(F.col("ratio").alias("ra"), mine.alias("by_all"))
     q = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(every, F.col("ratio") == F.col("ra"))
-    wide = F.when(F.col("by_lang.n") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
-    q = q.select("lang", "source", "ratio", F.when(F.col("n") >= min_group, mine).otherwise(wide).alias("b"), wide.alias("w"), "by_all")
+
+    def blend(x: str, wide: str) -> Column:
+        n = F.col(f"{x}.n")
+        return F.struct(*(((n * F.col(f"{x}.{k}") + prior * F.col(f"{wide}.{k}")) / (n + prior)).alias(k) for k in names))
+
+    q = q.select("lang", "source", "ratio", mine.alias("own"), "by_all", blend("by_lang", "by_all").alias("w")).withColumn("b", blend("own", "w"))
     middle = lambda x: F.col(f"{x}.q3") - F.col(f"{x}.q1")
     # a ratio without a step could be narrowed to nothing by copies: its language's width counts too, or that of all
     wider = F.greatest(middle("b"), middle("w"))
