@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 SAMPLE = 16_000
-MOST_ENTRIES = 1_000
-MOST_PHRASES = 500
 HELD_OUT = 2
 THRESHOLD = 0.3
 _STEMS = (4, 5, 6, 7)
@@ -120,40 +120,42 @@ def _entries(words: list[str]) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """Lexicon, phrases and logistic from at most ``sample`` labelled documents."""
-    train = labelled(docs, labels, sample).cache()
-    try:
-        sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-        if not n_toxic or not n_clean:
-            rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0)
-            return Lexicon({}, (), (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
-        t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
-        odds = F.log(t / (n_toxic + 1.0)) - F.log(c / (n_clean + 1.0))
-        sure = odds - F.sqrt(1 / t + 1 / c)
-        least = max(3, round(0.004 * n_toxic))
-        best = _counts(train, _entries).where((F.col("toxic") >= least) & (sure > 1.5)).withColumn("weight", sure).orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry").limit(MOST_ENTRIES)
-        weights: dict[str, float] = {}
-        for row in best.collect():
-            # a beginning that another entry already begins with, or the word of one, adds nothing
-            stem = row["entry"].rstrip()
-            if not any(stem[:n] in weights for n in range(4, len(stem))):
-                weights[row["entry"]] = float(row["weight"])
-        held = tuple(weights)
-
-        def phrases(words: list[str]) -> set[str]:
-            hit = [f" {w} " in weights or any(f" {w[:n]}" in weights for n in _STEMS) for w in words]
-            return {f" {words[i]}  {words[i + 1]} " for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
-
-        spared: tuple[str, ...] = ()
-        if held:
-            rows = _counts(train, phrases).where((F.col("clean") >= 3) & (F.col("clean") > 4 * F.col("toxic"))).orderBy(F.desc("clean"), "entry").limit(MOST_PHRASES).collect()
-            spared = tuple(r["entry"] for r in rows)
-        draft = Lexicon(weights, spared)
-        rows = _measured(train.select("toxic", "text"), draft, "toxic").collect()  # at most ``sample`` rows of four numbers
-        return Lexicon(weights, spared, _logistic(np.array([r[1:4] for r in rows]), np.array([r["toxic"] for r in rows], float)))
-    finally:
-        train.unpersist()
+    """Lexicon, phrases and logistic from at most ``sample`` labelled documents.
+
+    Entries and phrases are all those that pass their tests; there are no more
+    of them than the words of the sample.  Without documents of both labels
+    the lexicon is empty and the score is the rate of toxic ones.
+    """
+    train = written(labelled(docs, labels, sample))
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0)
+        return Lexicon({}, (), (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0))
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(t / (n_toxic + 1.0)) - F.log(c / (n_clean + 1.0))
+    sure = odds - F.sqrt(1 / t + 1 / c)
+    least = max(3, round(0.004 * n_toxic))
+    best = _counts(train, _entries).where((F.col("toxic") >= least) & (sure > 1.5)).withColumn("weight", sure).orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry")
+    weights: dict[str, float] = {}
+    for row in best.collect():
+        # a beginning that another entry already begins with, or the word of one, adds nothing
+        stem = row["entry"].rstrip()
+        if not any(stem[:n] in weights for n in range(4, len(stem))):
+            weights[row["entry"]] = float(row["weight"])
+    held = tuple(weights)
+
+    def phrases(words: list[str]) -> set[str]:
+        hit = [f" {w} " in weights or any(f" {w[:n]}" in weights for n in _STEMS) for w in words]
+        return {f" {words[i]}  {words[i + 1]} " for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
+
+    spared: tuple[str, ...] = ()
+    if held:
+        rows = _counts(train, phrases).where((F.col("clean") >= 3) & (F.col("clean") > 4 * F.col("toxic"))).orderBy(F.desc("clean"), "entry").collect()
+        spared = tuple(r["entry"] for r in rows)
+    draft = Lexicon(weights, spared)
+    rows = _measured(train.select("toxic", "text"), draft, "toxic").collect()  # at most ``sample`` rows of four numbers
+    return Lexicon(weights, spared, _logistic(np.array([r[1:4] for r in rows]), np.array([r["toxic"] for r in rows], float)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -194,7 +196,13 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Scores as in ``score``: null and empty texts get that of a text without
+    matches; a null doc_id and nulls in other columns stay as they are; equal
+    rows go or stay together; an empty table gives an empty result; columns may
+    have any names, as only ``text`` is used.
+    """
     a, *rest = lexicon.constants
 
     def run(batches):
