@@ -1,12 +1,13 @@
 """Exact top-k inner products by columnar branch and bound (operator 3).
 
 Vectors become whole numbers and are packed in blocks in vertical layout, one
-row of a block for each dimension.  Every block of queries meets every block
-of candidates in one task.  There inner products grow by a few dimensions at a
+row of a block for each dimension.  Every block of queries meets a run of
+blocks of candidates in one task, one after another, and keeps its best so far
+as the bar for the next.  There inner products grow by a few dimensions at a
 time; what the remaining dimensions can add is bounded by the product of the
 remaining lengths, and candidates that cannot reach a query's k-th best lower
 bound are compacted away.  Blocks have fixed sizes, so memory does not grow
-with the data; the best of each pair of blocks are merged by query.
+with the data; the best of each run are merged by query.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ K = 20
 QUERY_MODULUS = 20
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
+#: Blocks of candidates that meet a block of queries one after another.
+RUN_BLOCKS = 8
 DIMENSIONS_AT_ONCE = 16
 SCALE = 64
 _LONG = float(2**63 - 1024)
@@ -51,8 +54,8 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ids, np.int64), out
 
 
-def best_of_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (row) the ids and scores of its ``k`` best candidates other than its own id."""
+def best_of_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (row) the ids and scores of its ``k`` best among ``best`` and the candidates other than its own id."""
     dims = max(queries.shape[1], columns.shape[0])
     q = np.zeros((len(queries), dims))
     q[:, : queries.shape[1]] = queries
@@ -69,24 +72,27 @@ def best_of_block(queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, own
     out = []
     for i in range(len(q)):
         alive = np.flatnonzero(ids != own[i])
+        known, reached = best[i]
+        before = float(reached[-1]) if len(reached) >= k else -np.inf
         score = np.zeros(len(alive))
         for b in range(len(cuts) - 1):
             at = slice(cuts[b], cuts[b + 1])
             part = c[at] if len(alive) == len(ids) else c[at, alive]
             score = score + q[i, at] @ part
-            if len(alive) <= k or b == len(cuts) - 2:
+            if (len(alive) <= k and before == -np.inf) or not len(alive) or b == len(cuts) - 2:
                 continue
             reach = q_left[b][i] * c_left[b][alive] * (1 + 1e-12) + 1e-6
             low = score - reach
-            bar = np.partition(low, len(low) - k)[len(low) - k]
+            bar = max(before, np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf)
             keep = score + reach >= bar
             alive, score = alive[keep], score[keep]
         if len(alive) > k:
             bar = np.partition(score, len(score) - k)[len(score) - k]
             keep = score >= bar
             alive, score = alive[keep], score[keep]
-        first = np.lexsort((ids[alive], -score))[:k]
-        out.append((ids[alive][first], np.clip(score[first], -_LONG, _LONG).astype(np.int64)))
+        found, score = np.concatenate([known, ids[alive]]), np.concatenate([reached, np.clip(score, -_LONG, _LONG).astype(np.int64)])
+        first = np.lexsort((found, -score))[:k]
+        out.append((found[first], score[first]))
     return out
 
 
@@ -107,13 +113,13 @@ def top_k(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = K, query_bl
     asks = rows.where((F.col("vec_id") % modulus == 0) & F.col("embedding").isNotNull()).distinct()
     n_asks, n_rows = asks.count(), rows.count()
     slots = max(1, -(-n_asks // query_block))
-    salts = max(1, -(-n_rows // (4 * candidate_block)))
+    salts = max(1, -(-n_rows // (RUN_BLOCKS * candidate_block)))
 
     def pack_queries(table: pa.Table) -> pa.Table:
         ids, x = _vectors(table.combine_chunks().to_batches()[0])
         return pa.Table.from_pylist([{"slot": table["slot"][0].as_py()} | _pack(ids, x)] if len(ids) else [], schema=pa.schema([("slot", pa.int32()), ("ids", pa.binary()), ("n", pa.int32()), ("columns", pa.binary())]))
 
-    queries = asks.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int")).groupBy("slot").applyInArrow(pack_queries, "slot int, ids binary, n int, columns binary")
+    queries = asks.withColumn("slot", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(slots)).cast("int")).groupBy("slot").applyInArrow(pack_queries, "slot int, ids binary, n int, columns binary")
     queries = queries.select("slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "n", "columns")))
 
     def pack_candidates(batches):
@@ -127,24 +133,27 @@ def top_k(vectors: DataFrame, modulus: int = QUERY_MODULUS, k: int = K, query_bl
     blocks = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
 
     def search(batches):
+        now, own, q, best = None, None, None, []
+
+        def found():
+            size = [len(a) for a, _ in best]
+            if sum(size):
+                query = np.repeat(np.arange(len(own)), size) + now[0] * (1 << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, size)), pa.array(query), pa.array(np.concatenate([a for a, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "query", "vec_id", "score"])
+
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                own, q = _unpack(row["q_ids"], row["q_n"], row["q_columns"])
+                row = {c: batch.column(c)[i].as_py() for c in ("slot", "salt", "ids", "n", "columns")}
+                if now != (row["slot"], row["salt"]):
+                    yield from found()
+                    now = (row["slot"], row["salt"])
+                    own, q = _unpack(*(batch.column(c)[i].as_py() for c in ("q_ids", "q_n", "q_columns")))
+                    best = [(np.zeros(0, np.int64),) * 2] * len(own)
                 ids, columns = _unpack(row["ids"], row["n"], row["columns"])
-                found = best_of_block(q.T, ids, columns, own, k)
-                if any(len(a) for a, _ in found):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(own, [len(a) for a, _ in found])),
-                            pa.array(np.repeat(np.arange(len(own)), [len(a) for a, _ in found]) + row["slot"] * (1 << 32)),
-                            pa.array(np.concatenate([a for a, _ in found])),
-                            pa.array(np.concatenate([s for _, s in found])),
-                        ],
-                        ["query_id", "query", "vec_id", "score"],
-                    )
-
-    pairs = blocks.join(queries, ["slot", "salt"]).select("slot", "ids", "n", "columns", "q_ids", "q_n", "q_columns")
+                best = best_of_block(q.T, ids, columns, own, k, best)
+        yield from found()
+
+    pairs = blocks.join(queries, ["slot", "salt"]).select("slot", "salt", "ids", "n", "columns", "q_ids", "q_n", "q_columns")
     found = pairs.mapInArrow(search, "query_id long, query long, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
