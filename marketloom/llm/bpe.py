@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with public ranks (operator 5).
 
 Texts are cut into chunks before each lone space, where every piece of the
-tokenizer's pattern begins anew, and the distinct chunks of a batch are split by
-the pattern.  The distinct new pieces form one corpus, laid out as a chain of
+tokenizer's pattern begins anew, and the distinct chunks are split by
+the pattern.  The distinct new pieces of some megabytes form one corpus, laid out as a chain of
 symbols: an inverted index holds the places of every token pair, merges are
 applied over the whole corpus in rank order, and each touches only its two
 neighbours.  Ids of chunks lie in one flat array, from which those of all texts
@@ -27,6 +27,8 @@ from .flat import flatten, slices
 
 #: Distinct chunks a worker keeps between batches; beyond it, it starts afresh.
 CACHE_CHUNKS = 400_000
+#: Texts whose new pieces are merged together, and texts whose ids are gathered together.
+CORPUS_BYTES = 8 << 20
 GATHER_BYTES = 1 << 20
 _NONE = 1 << 40
 _PLAIN = np.zeros(256, bool)  # bytes that begin, and if they are ASCII end, no white space
@@ -89,7 +91,7 @@ class _Codec:
         """Ids of all words, one after another, and how many each has, merge by merge over all words at once."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         end = np.cumsum(size)
         after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
         after[end - 1], before[end - size] = -1, -1
@@ -247,7 +249,9 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, decoded: bool = F
         if codec is None:
             codec = _workers[name] = _Codec(shared.value, pattern)
         for batch in batches:
-            for a, b, ids, bounds in codec.encode(*flatten(batch.column("text"))):
+            buf, off = flatten(batch.column("text"))
+            found = ((lo + a, lo + b, *rest) for lo, hi in slices(off, CORPUS_BYTES) for a, b, *rest in codec.encode(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+            for a, b, ids, bounds in found:
                 out = [batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds)), _binary(ids.astype("<u4"), 4 * bounds)]
                 if decoded:
                     out.append(_binary(*codec.decode(ids, bounds)))
