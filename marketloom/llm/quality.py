@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .flat import SPACE, flatten, lines, mix, prefix_hash, slices, span_hash, words
-from .tables import written
+from .tables import parts, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -89,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the five measures of each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1024):
             buf, off = flatten(batch.column("text"))
             found = [measures(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in slices(off)]
             if found:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import parts, written
 
 SAMPLE = 16_000
 HELD_OUT = 2
@@ -104,7 +104,7 @@ def _counts(train: DataFrame, spell) -> DataFrame:
     """(entry, toxic, clean): documents of either label that hold what ``spell`` makes of their words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4096):
             by: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 by[toxic].update(spell(fold(text or "")))
@@ -175,7 +175,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def _measured(docs: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     def run(batches):
         machine = lexicon.automaton()
-        for batch in batches:
+        for batch in parts(batches, 512):
             found = [measure(machine, fold(t or "")) for t in batch.column("text").to_pylist()]
             columns = [pa.array(x, pa.float64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.float64())] * 3
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "total", "density", "some"])
@@ -207,7 +207,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
 
     def run(batches):
         machine = lexicon.automaton()
-        for batch in batches:
+        for batch in parts(batches, 512):
             z = [a + float(np.dot(rest, measure(machine, fold(t or "")))) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -30, 30))) < threshold, pa.bool_()))
 
