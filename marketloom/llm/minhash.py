@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, flatten, mix, prefix_hash, slices, span_hash, words
-from .tables import components, join_bytes, packed, row_key, salted_join, small_or_shuffled, unpack, with_row_key, written
+from .tables import components, join_bytes, packed, parts, row_key, salted_join, small_or_shuffled, unpack, with_row_key, written
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -106,7 +106,7 @@ def group_keys(values: np.ndarray, bounds: np.ndarray, collections: int, rows: i
 
 def _classify(docs: DataFrame, size: int, collections: int, rows: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1024):
             buf, off = flatten(batch.column("text"))
             sizes, keys, groups = [], [], []
             for a, b in slices(off):
@@ -133,7 +133,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1024):
             keep = np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
@@ -145,17 +145,13 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     keep[lo + i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    pairs = written(pairs)
-    sizes = texts.select("node", "n")
-    # pairs that can be similar by their sizes; then the hub of a large group, which has many, is split over tasks
+    # the hub of a large group, which has many pairs, is split over tasks
+    pairs = joined = written(pairs)
+    for x, other in ("ab", "ba"):
+        side = texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}"), F.col("n").alias(f"n_{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("links")), x)
+        joined = salted_join(joined, side, [x], "links", other)
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    for x in "ab":
-        pairs = salted_join(pairs, written(sizes.toDF(x, f"n_{x}").join(pairs.groupBy(x).agg(F.count("*").alias("links")), x)), [x], "links", "b" if x == "a" else "a")
-    pairs = written(pairs.where(near).select("a", "b"))
-    for x in "ab":
-        side = texts.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("links")), x)
-        pairs = salted_join(pairs, side, [x], "links", "b" if x == "a" else "a")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return joined.where(near).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def parity(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
