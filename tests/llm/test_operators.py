@@ -86,6 +86,25 @@ def test_suffix_dedup_matches_brute_force(spark, docs, texts):
         assert bytes(r["kept"]) == want[r["doc_id"]]
 
 
+def test_suffix_dedup_counts_the_strings_of_crowded_anchors(spark):
+    rng = random.Random(4)
+    core = "abcdefghijklmnop"
+    small = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 9))) + core[: rng.randint(9, 16)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    want = repeated([t.encode() for _, t in small], 12)
+    for most in (1, 5, 4096):
+        got = suffix_dedup.suffix_dedup(spark.createDataFrame(small, "doc_id long, text string"), 12, most).collect()
+        assert {r["doc_id"]: bytes(r["kept"]) for r in got} == dict(enumerate(want))
+
+
+def test_suffix_dedup_of_a_text_longer_than_a_slice(spark):
+    rng = np.random.default_rng(6)
+    letters = "".join(map(chr, rng.integers(97, 123, 900_000)))
+    passage = letters[600_000:601_000]
+    rows = [(1, letters), (2, "short"), (3, "before" + passage + "after"), (4, letters[100:499])]
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: letters[:600_000] + letters[601_000:], 2: "short", 3: "beforeafter", 4: rows[3][1]}
+
+
 def groups(items, size, percent=80):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = {}
@@ -146,6 +165,13 @@ def test_toxicity_on_held_out(spark):
     assert found.where("toxic = predicted").count() >= 0.9 * found.count()
 
 
+def test_toxicity_finds_most_and_seldom_errs(spark):
+    d = "/root/testdata/sf0.1"
+    found = queries.queries()["op4_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_folding_undoes_disguises():
     plain = toxicity.fold("idiot loser scum")
     assert toxicity.fold("1D10T l0s3r $cum") == plain == toxicity.fold("іdіоt ｌｏｓｅｒ s\u200bcüm")
@@ -245,6 +271,31 @@ def test_mixing_targets(docs):
     assert sum(r["g"] for r in by) == pytest.approx(1.5 * sum(r["size"] for r in rows))
 
 
+def test_mixing_matches_brute_force_targets(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), " ".join(["w"] * int(rng.paretovariate(0.7) * 3 % 3000))) for i in range(400)]
+    rows += [(400, "d", None), (401, "e", ""), (402, "f", "x y z"), (402, "f", "x y z")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    total = Counter()
+    for _, source, text in rows:
+        total[source] += len((text or "").split())
+    names = sorted((s for s in total if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(total.values()), set(names)
+    while over := [s for s in open_ if left * weight[s] / sum(weight[t] for t in open_) > 2 * total[s]]:
+        for s in over:
+            target[s] = 2.0 * total[s]
+        open_ -= set(over)
+        left = 1.5 * sum(total.values()) - sum(target.values())
+    target |= {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == total[r["source"]] and 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
+        taken[r["source"]] += r["taken"]
+    least = {s: min((len((t or "").split()) or 10**9 for _, x, t in rows if x == s)) for s in names}
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= max(0.5 * least[s], 0.02 * target[s]) for s in names)
+
+
 def test_mixing_shares_what_is_over(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 100)], "source string, total long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sources).collect()}
@@ -280,6 +331,49 @@ def test_quality_fences_follow_the_group(spark):
     assert not kept & set(range(2000, 2009)) and kept >= {3000, *range(300), *range(1000, 1300), *range(2009, 2018)}
 
 
+def test_quality_verdicts_match_brute_force(docs):
+    rows = [r.asDict() for r in quality.measured(docs).collect()]
+    width = np.log(quality.BIN_WIDTH)
+
+    def ratios(r):
+        n = max(r["n_words"], 1)
+        return {"word_length": r["word_chars"] / n, "symbols_per_word": r["n_symbols"] / n, "dup_lines_per_word": r["n_dup_lines"] / n, "repeated_share": r["n_repeat_words"] / n}
+
+    def failed(r):
+        return r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+
+    def sketch(group):
+        out = {"n": len(group)}
+        for k in [*quality.STEPS, "per_word"]:
+            bins = sorted(int(np.floor(np.log((1 / r["n_words"] if k == "per_word" else ratios(r)[k]) + quality.SMALLEST) / width)) for r in group)
+            for name, q in (("q1", 5), ("q2", 10), ("q3", 15), ("q9", 18)):
+                at = next(i for i in range(len(bins)) if (i + 1) * 20 >= len(bins) * q)
+                out[k, name] = np.exp((bins[at] + 0.5) * width) - quality.SMALLEST
+        return out
+
+    def blend(x, wide):
+        return {k: v if k == "n" else (x["n"] * v + quality.PRIOR * wide[k]) / (x["n"] + quality.PRIOR) for k, v in x.items()}
+
+    good = [r for r in rows if not failed(r)]
+    every = sketch(good)
+    langs = {x: blend(sketch([r for r in good if r["lang"] == x]), every) for x in {r["lang"] for r in good}}
+    bounds = {}
+    for lang, source in {(r["lang"], r["source"]) for r in good}:
+        b, w = blend(sketch([r for r in good if (r["lang"], r["source"]) == (lang, source)]), langs[lang]), langs[lang]
+        for k, counts in quality.STEPS.items():
+            middle = lambda x, k=k: x[k, "q3"] - x[k, "q1"]
+            least = counts * b["per_word", "q9"]
+            half = middle(b) if least > 0 else (max(middle(b), middle(w)) or middle(every))
+            if half > 0 or least > 0:
+                bounds[lang, source, k] = min(b[k, "q1"] - 6 * half, b[k, "q2"] - 6 * least), max(b[k, "q3"] + 6 * half, b[k, "q2"] + 6 * least)
+    want = {}
+    for r in rows:
+        inside = all(lo <= v <= hi for k, v in ratios(r).items() for lo, hi in [bounds.get((r["lang"], r["source"], k), (-1e9, 1e9))])
+        want[r["doc_id"]] = not failed(r) and inside
+    got = {r["doc_id"]: r["kept"] for r in quality.query(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 OPERATORS = [suffix_dedup.query, minhash.query, bpe.query, line_dedup.query, mixing.query, secrets.query, quality.query]
 
 
@@ -301,6 +395,22 @@ def test_one_of_each_keeps_one_row_of_equal_rows(odd):
     assert by[5] == 1 and 6 not in by and 7 not in by and by[0] == 1 and by[None] == 2
 
 
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, int(i == 3)) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, str(tmp_path))
+        counts[name] = got.count()
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        if name != "bpe":
+            assert got.columns == odd.columns and got.where("doc_id = 0 and text is null and n_chars = 1").count() >= 1
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_shared_lines(spark, odd, str(tmp_path)).collect()}
+    assert texts[11] == "x\nmore" and 6 not in texts and texts[0] is None
+    assert counts["bpe"] == odd.count() == 16 and counts["minhash_dedup"] < 16 and counts["toxicity"] >= 12
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
