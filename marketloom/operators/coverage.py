@@ -37,6 +37,5 @@ def walk(levels: DataFrame, by: list[str], quantity: float) -> DataFrame:
 
 
 def nearest_rank(value: str, q: float) -> F.Column:
-    """Smallest value whose rank reaches q, for groups of bounded size."""
-    s = F.array_sort(F.collect_list(value))
-    return F.element_at(s, F.greatest(F.lit(1), F.ceil(F.size(s) * q).cast("int")))
+    """Smallest value whose rank reaches q; counts of values are merged, no list of them is made."""
+    return F.expr(f"percentile_disc({q}D) within group (order by `{value}`)")

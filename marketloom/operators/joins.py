@@ -22,17 +22,32 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return x.select("_left.*", F.col("_match").alias("matched"))
 
 
+def _sum_upto(events: DataFrame, points: DataFrame, keys: list[str], at: str, time: str, inclusive: bool, name: str, bucket_ms: int) -> DataFrame:
+    """Adds the sum of ``_value`` over points before ``at`` (and at it); windows inside time buckets, then over the buckets' sums."""
+    bucket = lambda t: F.floor(F.col(t) / bucket_ms).alias("_bucket")
+    side = F.lit(2 if inclusive else 0).alias("_side")
+    e = events.select(*keys, bucket(at), F.col(at).alias("_t"), side, F.lit(0.0).alias("_value"), F.struct(*events.columns).alias("_row"))
+    p = points.select(*keys, bucket(time), F.col(time).alias("_t"), F.lit(1).alias("_side"), "_value", F.lit(None).cast(e.schema["_row"].dataType).alias("_row"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side").rangeBetween(Window.unboundedPreceding, 0)
+    x = e.unionByName(p).withColumn("_near", F.sum("_value").over(inside)).where("_row is not null")
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = e.select(*keys, "_bucket", "_value").unionByName(p.select(*keys, "_bucket", "_value")).groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_value"))
+    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_value").over(earlier), F.lit(0.0)).alias("_far"))
+    return x.drop("_value").join(sums, [*keys, "_bucket"]).select("_row.*", (F.col("_near") + F.col("_far")).alias(name))
+
+
 def interval_sum(events: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, time: str, value: Column, name: str, bucket_ms: int) -> DataFrame:
     """Adds the sum of ``value`` over points with start < time < end.
 
-    Both sides meet in an equi-join on time buckets, not in a nested loop.
+    The difference of two running sums, so no event is repeated; equal events
+    stay as many rows.  Time buckets split the series of one key.  An event that
+    ends before it starts has the sum 0; keys must not be null.
     """
-    buckets = F.explode(F.sequence(F.floor(F.col(start) / bucket_ms), F.floor(F.col(end) / bucket_ms)))
-    e = events.withColumn("_row", F.struct(*events.columns)).select("_row", *keys, start, end, buckets.alias("_bucket"))
-    p = points.withColumn("_bucket", F.floor(F.col(time) / bucket_ms)).select(*keys, "_bucket", F.col(time).alias("_time"), value.alias("_value"))
-    met = e.join(p, [*keys, "_bucket"], "left")
-    inside = (F.col("_time") > F.col(start)) & (F.col("_time") < F.col(end))
-    return met.groupBy("_row").agg(F.sum(F.when(inside, F.col("_value")).otherwise(F.lit(0.0))).alias(name)).select("_row.*", name)
+    p = points.select(*keys, time, value.cast("double").alias("_value"))
+    x = _sum_upto(events, p, keys, start, time, True, "_until_start", bucket_ms)
+    x = _sum_upto(x, p, keys, end, time, False, "_until_end", bucket_ms)
+    inside = F.when(F.col(end) > F.col(start), F.col("_until_end") - F.col("_until_start")).otherwise(F.lit(0.0))
+    return x.withColumn(name, inside).drop("_until_start", "_until_end")
 
 
 def forward_outcomes(bars: DataFrame, step_ms: int, horizon: int) -> DataFrame:
@@ -53,3 +68,15 @@ def midrank_percentile(by: list[str], value: str) -> Column:
     """Cross-sectional percentile with tied values at their mean rank."""
     w = Window.partitionBy(*by)
     return (F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2 - 0.5) / F.count("*").over(w)
+
+
+def others_median(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the median of the other rows' values in the cross-section, from ranks and no pairs; single rows go."""
+    every, ranked = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value)
+    x = rows.withColumns({"_n": F.count("*").over(every), "_k": F.row_number().over(ranked)}).where("_n > 1")
+    half = F.floor(F.col("_n") / 2)
+    x = x.withColumns({f"_{i}": F.max(F.when(F.col("_k") == half + i, F.col(value))).over(every) for i in range(3)})
+    # without the own rank k, the i-th value is that of rank i or, from k on, i + 1
+    place = lambda i: F.when(half + i < F.col("_k"), F.col(f"_{i}")).otherwise(F.col(f"_{i + 1}"))
+    median = F.when(F.col("_n") % 2 == 0, place(0)).otherwise((place(0) + place(1)) / 2)
+    return x.withColumn(name, median).drop("_n", "_k", "_0", "_1", "_2")

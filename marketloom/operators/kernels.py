@@ -40,7 +40,7 @@ def _after_gap(values: np.ndarray, period: int, alpha: float) -> np.ndarray:
 
 
 def indicators(bars: pd.DataFrame) -> pd.DataFrame:
-    """EMA 9/20/50/200, RSI 14, ATR 14, ADX 14 and MACD histogram of one series in time order."""
+    """EMA 9/20/50/200, RSI 14, ATR 14, +DI, -DI and ADX 14 and MACD histogram of one series in time order."""
     c, h, low = (bars[x].to_numpy(float) for x in ("close", "high", "low"))
     out = {f"ema{p}": smooth(c, p, 2 / (p + 1)) for p in (9, 20, 50, 200)}
     before = np.concatenate([[np.nan], c[:-1]])
@@ -55,13 +55,14 @@ def indicators(bars: pd.DataFrame) -> pd.DataFrame:
         p, m = 100 * smooth(plus, 14, 1 / 14) / trs, 100 * smooth(minus, 14, 1 / 14) / trs
         dx = np.where(trs > 0, np.where(p + m == 0, 0.0, 100 * np.abs(p - m) / (p + m)), np.nan)
     out["atr"] = trs
+    out["plus_di"], out["minus_di"] = p, m
     out["adx"] = _after_gap(dx, 14, 1 / 14)
     macd = smooth(c, 12, 2 / 13) - smooth(c, 26, 2 / 27)
     out["macd_histogram"] = macd - _after_gap(macd, 9, 0.2)
     return pd.DataFrame(out, index=bars.index)
 
 
-NAMES = ["ema9", "ema20", "ema50", "ema200", "rsi", "atr", "adx", "macd_histogram"]
+NAMES = ["ema9", "ema20", "ema50", "ema200", "rsi", "atr", "plus_di", "minus_di", "adx", "macd_histogram"]
 RUN_IN = math.ceil(math.log(1e-12) / math.log(1 - 2 / 201))
 
 

@@ -202,7 +202,25 @@ def w01(spark, d):
     return rounded(_recursive(spark, d).select("symbol", "open_time_ms", "ema9", "ema20", "atr"), 5)
 
 
-@_register("w03_oscillators")
+_P = lambda n: f"(partition by symbol, seg order by rn rows between {n - 1} preceding and current row)"
+_PREVIOUS = {"g": ("gain", 15, 14), "l": ("loss", 15, 14), "a": ("true_range", 14, 14), "p": ("plus", 14, 14), "m": ("minus", 14, 14)}
+_EMAS = {f"e{n}": n for n in (9, 12, 20, 26, 50)}
+_STEP = lambda old, new, rn, seed, alpha: f"case when s.rn = {rn} then s.{seed} when s.rn > {rn} then e.{old} + (s.{new} - e.{old}) * {alpha} end"
+#: Recursive indicators of daily bars as table osc: two recursions, the second over what the first gives.
+_OSC = f"""{_SEG}, mv as (select *, close - lag(close) over k as move, high - lag(high) over k as up, lag(low) over k - low as dn from t window k as (partition by symbol, seg order by rn)),
+ parts as (select *, greatest(move, 0) as gain, greatest(-move, 0) as loss, case when up > dn and up > 0 then up else 0 end as plus, case when dn > up and dn > 0 then dn else 0 end as minus from mv),
+ seeds as (select *, {', '.join(f'avg({c}) over {_P(n)} as s_{k}' for k, (c, _, n) in _PREVIOUS.items())}, {', '.join(f'avg(close) over {_P(n)} as s_{k}' for k, n in _EMAS.items())} from parts),
+ e as (select symbol, seg, rn, {', '.join(f'cast(null as double) as {k}' for k in [*_PREVIOUS, *_EMAS])} from seeds where rn = 1 union all select s.symbol, s.seg, s.rn,
+ {', '.join([*(_STEP(k, c, rn, 's_' + k, f'(1.0::double / {n})') for k, (c, rn, n) in _PREVIOUS.items()), *(_STEP(k, 'close', n, 's_' + k, f'(2.0::double / {n + 1})') for k, n in _EMAS.items())])} from e join seeds s on s.symbol = e.symbol and s.seg = e.seg and s.rn = e.rn + 1),
+ dxs as (select *, case when a > 0 then case when p + m = 0 then 0 else 100 * abs(p - m) / (p + m) end end as dx, e12 - e26 as macd from e),
+ seeds2 as (select *, avg(dx) over {_P(14)} as s_adx, avg(macd) over {_P(9)} as s_signal from dxs),
+ e2 as (select symbol, seg, rn, cast(null as double) as adx, cast(null as double) as signal from seeds2 where rn = 1 union all select s.symbol, s.seg, s.rn, {_STEP('adx', 'dx', 27, 's_adx', '(1.0::double / 14)').replace('e.', 'f.')}, {_STEP('signal', 'macd', 34, 's_signal', '0.2::double').replace('e.', 'f.')}
+ from e2 f join seeds2 s on s.symbol = f.symbol and s.seg = f.seg and s.rn = f.rn + 1),
+ osc as (select x.symbol, x.seg, x.rn, y.open_time_ms, y.open, y.high, y.low, y.close, y.volume, y.quote_volume, y.taker_quote, y.trade_count, e9 as ema9, e20 as ema20, e50 as ema50, a as atr, adx, macd - signal as macd_histogram, 100 * p / a as plus_di, 100 * m / a as minus_di,
+ case when g is null then null when l = 0 then case when g > 0 then 100 else 50 end else 100 - 100 / (1 + g / l) end as rsi from dxs x join e2 using (symbol, seg, rn) join t y on y.symbol = x.symbol and y.seg = x.seg and y.rn = x.rn)"""
+
+
+@_register("w03_oscillators", f"with recursive {_OSC} select symbol, open_time_ms, {r('rsi', 5)} as rsi, {r('adx', 5)} as adx, {r('macd_histogram', 5)} as macd_histogram from osc")
 def w03(spark, d):
     return rounded(_recursive(spark, d).select("symbol", "open_time_ms", "rsi", "adx", "macd_histogram"), 5)
 
@@ -244,9 +262,9 @@ def j08(spark, d):
 @_register("j16_leave_one_out", f"with {candles_sql()}, x as (select symbol, open_time_ms, ln(close / open) as r from candles) select a.symbol, a.open_time_ms, {r('quantile_cont(b.r, 0.5)', 8)} as others, count(*) filter (b.r > 0) as n_up from x a join x b on a.open_time_ms = b.open_time_ms and a.symbol <> b.symbol group by 1, 2")
 def j16(spark, d):
     x = candles(spark, d).select("symbol", "open_time_ms", F.log(F.col("close") / F.col("open")).alias("r"))
-    o = x.select(F.col("symbol").alias("other"), "open_time_ms", F.col("r").alias("ro"))
-    y = x.join(o, "open_time_ms").where("symbol <> other")
-    return rounded(y.groupBy("symbol", "open_time_ms").agg(F.percentile("ro", F.lit(0.5)).alias("others"), F.count_if(F.col("ro") > 0).alias("n_up")), 8)
+    up = (F.col("r") > 0).cast("long")
+    x = x.withColumn("n_up", F.sum(up).over(series.Window.partitionBy("open_time_ms")) - up)
+    return rounded(joins.others_median(x, ["open_time_ms"], "r", "others").select("symbol", "open_time_ms", "others", "n_up"), 8)
 
 
 @_register("j19_midrank", f"with {candles_sql()} select symbol, open_time_ms, {r('(rank() over (partition by open_time_ms order by trade_count) + (count(*) over (partition by open_time_ms, trade_count) - 1) / 2.0::double - 0.5::double) / count(*) over (partition by open_time_ms)')} as percentile from candles")
@@ -332,6 +350,25 @@ def a22(spark, d):
     return ticks(spark, d).select("agg_id", F.sum(F.when(F.col("is_buyer_maker"), -F.col("qty")).otherwise(F.col("qty"))).over(w).alias("flow"))
 
 
+_LAG = lambda c, n: f"lag({c}, {n}) over (partition by symbol, seg order by rn)"
+#: Features that the rules read, as table feat; and the rules over them as table rule.
+_FEAT = f"""{_OSC}, ws as (select *, {_WIDTH} as width from osc), wp as (select *, {_LAG('close', 1)} as previous_close, max(high) {_over(-20, -1)} as recent_high, min(low) {_over(-20, -1)} as recent_low, {_LAG('macd_histogram', 1)} as macd1, {_LAG('macd_histogram', 2)} as macd2, {_LAG('rsi', 1)} as rsi1,
+ greatest(0, (high - greatest(open, close)) / greatest(high - low, 1e-12::double)) as upper_wick, greatest(0, (least(open, close) - low) / greatest(high - low, 1e-12::double)) as lower_wick,
+ 100.0::double * len(list_filter(list(width) {_over(-119, 0)}, lambda w: w <= width)) / count(width) {_over(-119, 0)} as width_percentile from ws), feat as (select * from wp where ema50 is not null and adx is not null)"""
+_UP, _DOWN = "(close > recent_high and previous_close <= recent_high)", "(close < recent_low and previous_close >= recent_low)"
+_NEAR = lambda x: f"(width_percentile <= 20 and {x} between 0 and greatest(atr, close * 0.001::double))"
+_IF = lambda *x: " + ".join(f"case when {c} then {p} else 0 end" for p, c in x)
+_RULES_SQL = [
+    ("squeeze_long", 1, _NEAR("recent_high - close"), f"60 + {_IF((15, 'ema20 > ema50'), (10, 'atr / close * 100 <= 2'))}", "false", "recent_low - atr * 0.25::double"),
+    ("squeeze_short", -1, _NEAR("close - recent_low"), f"60 + {_IF((15, 'ema20 < ema50'), (10, 'atr / close * 100 <= 2'))}", "false", "recent_high + atr * 0.25::double"),
+    ("breakout_long", 1, _UP, f"30 + {_IF((15, 'macd_histogram > 0 and macd_histogram > macd1'), (10, 'adx >= 20'), (10, 'ema20 > ema50'))}", f"{_UP} and macd_histogram > 0 and macd_histogram > macd1 and adx >= 20 and ema20 > ema50", "least(recent_high, close - atr)"),
+    ("breakdown_short", -1, _DOWN, f"30 + {_IF((15, 'macd_histogram < 0 and macd_histogram < macd1'), (10, 'adx >= 20'), (10, 'ema20 < ema50'))}", f"{_DOWN} and macd_histogram < 0 and macd_histogram < macd1 and adx >= 20 and ema20 < ema50", "greatest(recent_low, close + atr)"),
+    ("exhaustion_short", -1, "greatest(rsi, rsi1) >= 70", f"25 + {_IF((15, 'upper_wick >= 0.45::double'), (15, 'macd_histogram < macd1 and macd1 < macd2'), (10, 'close < ema9'))}", "false", "recent_high + atr * 0.5::double"),
+    ("capitulation_long", 1, "least(rsi, rsi1) <= 30", f"25 + {_IF((15, 'lower_wick >= 0.45::double'), (15, 'macd_histogram > macd1 and macd1 > macd2'), (10, 'close > ema9'))}", "false", "recent_low - atr * 0.5::double"),
+]
+_EVALUATED = f"{_FEAT}, rule as (" + " union all ".join(f"select symbol, open_time_ms, {i} as place, '{n}' as family, {x} as direction, case when {needs} then {score} else 0 end as score, coalesce({trigger}, false) as triggered, {invalid} as invalidation from feat" for i, (n, x, needs, score, trigger, invalid) in enumerate(_RULES_SQL)) + ")"
+
+
 def _features(spark, d):
     x = series.window_features(_recursive(spark, d), DAY_MS)
     size = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
@@ -339,23 +376,38 @@ def _features(spark, d):
     return x.withColumns({"macd1": lag("macd_histogram", 1), "macd2": lag("macd_histogram", 2), "rsi1": lag("rsi", 1), "upper_wick": F.greatest(F.lit(0.0), (F.col("high") - F.greatest("open", "close")) / size), "lower_wick": F.greatest(F.lit(0.0), (F.least("open", "close") - F.col("low")) / size)}).where("ema50 is not null and adx is not null")
 
 
-@_register("r05_rule_scores")
+@_register("r05_rule_scores", f"with recursive {_EVALUATED} select symbol, open_time_ms, family, direction, score, triggered, {r('invalidation', 4)} as invalidation from rule where score > 0")
 def r05(spark, d):
     x = rules.evaluate(_features(spark, d)).where("score > 0")
     return rounded(x.select("symbol", "open_time_ms", "family", "direction", "score", "triggered", "invalidation"), 4)
 
 
-@_register("r10_strongest_rule")
+@_register("r10_strongest_rule", f"with recursive {_EVALUATED}, k as (select *, row_number() over (partition by symbol, open_time_ms, direction order by triggered desc, score desc, place) as k from rule where score > 0) select symbol, open_time_ms, direction, family, score, triggered from k where k = 1")
 def r10(spark, d):
     return rules.strongest(rules.evaluate(_features(spark, d)).where("score > 0"), ["symbol", "open_time_ms"])
 
 
-@_register("t04_state_changes")
+_COOLDOWN = 10 * DAY_MS
+_T04 = f"""with recursive {_EVALUATED}, d0 as (select *, case when triggered then 'CONFIRMED' when score >= 60 then 'SETUP' when score >= 40 then 'WATCH' else 'IDLE' end as desired from rule), d1 as (select *, coalesce(lag(desired) over k, 'IDLE') as before, coalesce(count(*) filter (desired = 'IDLE') over (partition by symbol, family order by open_time_ms rows between unbounded preceding and 1 preceding), 0) as run from d0 window k as (partition by symbol, family order by open_time_ms)),
+ d2 as (select *, last_value(invalidation ignore nulls) over (partition by symbol, family, run order by open_time_ms rows between unbounded preceding and 1 preceding) as held from d1), ch as (select symbol, family, open_time_ms, before, desired, case when desired = 'IDLE' then coalesce(held, invalidation) else invalidation end as invalidation from d2 where desired <> before),
+ conf as (select symbol, family, open_time_ms as t from ch where desired = 'CONFIRMED'), nxt as (select a.symbol, a.family, a.t, min(b.t) as nt from conf a join conf b on a.symbol = b.symbol and a.family = b.family and a.t + {_COOLDOWN} <= b.t group by 1, 2, 3),
+ taken as (select symbol, family, min(t) as t from conf group by 1, 2 union all select n.symbol, n.family, n.nt from taken x join nxt n on n.symbol = x.symbol and n.family = x.family and n.t = x.t)
+ select ch.symbol, ch.family, open_time_ms, before, case when desired = 'IDLE' then 'INVALIDATED' else desired end as stage, {r('invalidation', 4)} as invalidation from ch left join taken on ch.symbol = taken.symbol and ch.family = taken.family and ch.open_time_ms > taken.t and ch.open_time_ms - taken.t < {_COOLDOWN}
+ where taken.t is null and (desired <> 'IDLE' or before in ('WATCH', 'SETUP'))"""
+
+
+@_register("t04_state_changes", _T04)
 def t04(spark, d):
-    return rules.state_changes(rules.evaluate(_features(spark, d))).select("symbol", "family", "open_time_ms", "before", "stage")
+    found = rules.state_changes(rules.evaluate(_features(spark, d)), cooldown_ms=10 * DAY_MS, bucket_ms=90 * DAY_MS)
+    return rounded(found.select("symbol", "family", "open_time_ms", "before", "stage", "invalidation"), 4)
+
+
+_R26 = f"""with recursive {TICKS}, ep as (select symbol, user_id, ts_ms as e, ts_ms + (1 + agg_id % 48) * {HOUR_MS} as x, min(agg_id) as id from ticks group by 1, 2, 3, 4), ranked as (select *, row_number() over (partition by symbol, user_id order by x, e) as k from ep),
+ nxt as (select a.symbol, a.user_id, a.k, min(b.k) as nk from ranked a join ranked b on a.symbol = b.symbol and a.user_id = b.user_id and b.e >= a.x group by 1, 2, 3), taken as (select symbol, user_id, cast(1 as bigint) as k from ranked where k = 1 union all select n.symbol, n.user_id, n.nk from taken t join nxt n on n.symbol = t.symbol and n.user_id = t.user_id and n.k = t.k)
+ select symbol, user_id, id as agg_id, e as entry_ms, x as exit_ms from ranked join taken using (symbol, user_id, k)"""
 
 
-@_register("r26_non_overlapping")
+@_register("r26_non_overlapping", _R26)
 def r26(spark, d):
     e = ticks(spark, d).select("symbol", "user_id", "agg_id", F.col("ts_ms").alias("entry_ms"), (F.col("ts_ms") + (1 + F.col("agg_id") % 48) * HOUR_MS).alias("exit_ms"))
     return rules.non_overlapping(e, ["symbol", "user_id"], "entry_ms", "exit_ms", ["agg_id"])
