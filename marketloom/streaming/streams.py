@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+from ..stored import shared_folder
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
