@@ -155,11 +155,11 @@ def _lined(keyed: DataFrame, least: int) -> DataFrame:
                 count = np.bincount(row, minlength=hi - lo)
                 first = np.cumsum(count) - count
                 # a run is the bytes from its first line to its last, line breaks among them
-                hashed = [span_hash(prefix, a[u], b[v - 1]).view(np.int64) for u, v in ((s, e), (s2, e2))]
+                hashed = [span_hash(x, prefix, a[u], b[v - 1]).view(np.int64) for u, v in ((s, e), (s2, e2))]
                 # a short document goes with the blank lines around its run
                 short = np.bincount(row, size, hi - lo)[r] < least
                 s, e = np.where(short, 0, s - first[r]), np.where(short, count[r], e - first[r])
-                found.append((span_hash(prefix, a, b).view(np.int64), size, s, e, *hashed))
+                found.append((span_hash(x, prefix, a, b).view(np.int64), size, s, e, *hashed))
                 n, m = np.bincount(r, minlength=hi - lo), np.bincount(r2, minlength=hi - lo)
                 counts.append((count, count, n, n, n, m))
             if not found:

@@ -48,7 +48,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarra
     n_rows = len(off) - 1
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
-    word = span_hash(prefix_hash(x), start, end)
+    word = span_hash(x, prefix_hash(x), start, end)
     n = len(word)
     count = np.bincount(row, minlength=n_rows)
     first = np.cumsum(count) - count

@@ -69,11 +69,11 @@ def measures(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     held = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(full, out=held[1:])
     keep = held[b] > held[a]
-    _, later = _repeats(span_hash(prefix, a[keep], b[keep]), owner[keep])
+    _, later = _repeats(span_hash(buf, prefix, a[keep], b[keep]), owner[keep])
     dup = np.bincount(owner[keep][later], minlength=rows)
     marked = np.zeros(len(start), bool)
     if len(start) >= 3:
-        word = span_hash(prefix, start, end)
+        word = span_hash(buf, prefix, start, end)
         window = mix((word[:-2] * _U(3) + word[1:-1]) * _U(0xD6E8FEB86659FD93) + word[2:])
         at = np.flatnonzero(row[:-2] == row[2:])
         again, _ = _repeats(window[at], row[at])

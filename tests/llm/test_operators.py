@@ -374,6 +374,15 @@ def test_quality_verdicts_match_brute_force(docs):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+def test_long_self_similar_strings_are_told_apart(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one, "en", "s"), (2, two, "en", "s"), (3, f"{one}\n{two}", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.query(docs).collect()} == {1: 0, 2: 0, 3: 2}
+    assert {r["n_dup_lines"] for r in quality.query(docs).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.query(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 OPERATORS = [suffix_dedup.query, minhash.query, bpe.query, line_dedup.query, mixing.query, secrets.query, quality.query]
 
 
