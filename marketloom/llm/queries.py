@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, minhash, mixing, quality, secrets, suffix_dedup, topk, toxicity, url_filter
+from . import bpe, conversations, exact_dedup, line_dedup, minhash, mixing, quality, secrets, spelling, suffix_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": lambda spark, d: mixing.query(table(spark, d, "documents")),
         "op9_secrets": lambda spark, d: secrets.query(table(spark, d, "documents")),
         "op10_quality": lambda spark, d: quality.query(table(spark, d, "documents")),
+        "op11_spelling": lambda spark, d: spelling.query(table(spark, d, "documents")),
+        "op12_conversation_repair": lambda spark, d: conversations.query(table(spark, d, "conversations")),
+        "op13_exact_dedup": lambda spark, d: exact_dedup.query(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.ORACLE, "op6_url_filter": url_filter.ORACLE, "op9_secrets": secrets.oracle()}
+    return {
+        "op3_topk": topk.ORACLE,
+        "op6_url_filter": url_filter.ORACLE,
+        "op9_secrets": secrets.oracle(),
+        "op11_spelling": spelling.ORACLE,
+        "op12_conversation_repair": conversations.oracle(),
+        "op13_exact_dedup": exact_dedup.ORACLE,
+    }
