@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .walkforward import Schedule
+
 
 def draw(seed: Column, rep: Column, block: Column, n: Column | int) -> Column:
     """A draw below ``n`` from a hash: the same in any order of tasks."""
@@ -57,8 +59,14 @@ def naive_bayes(train: DataFrame, label: str, numeric: list[str], categorical: l
 
 
 def walk_forward_folds(df: DataFrame, time: str, first_train_ms: int, test_ms: int, embargo_ms: int) -> DataFrame:
-    """Rows by expanding fold: role train (up to the embargo) or test."""
-    ends = df.agg(F.min(time).alias("a"), F.max(time).alias("b"))
-    folds = ends.select("a", F.posexplode(F.sequence(F.col("a") + first_train_ms, F.col("b"), F.lit(test_ms))).alias("fold", "start"))
-    role = F.when((F.col(time) >= F.col("start")) & (F.col(time) < F.col("start") + test_ms), "test").when(F.col(time) < F.col("start") - embargo_ms, "train")
-    return df.join(F.broadcast(folds), F.lit(True), "cross").withColumn("role", role).where("role is not null").drop("a", "start")  # folds: a few dates
+    """Rows by expanding fold: role train (up to the embargo) or test.
+
+    A row comes once for every fold that it trains; where sums or counts of the
+    folds are enough, ``walkforward`` has them without such copies.
+    """
+    schedule = Schedule.of(df, time, first_train_ms, test_ms, embargo_ms)
+    slot, test = schedule.slot(time), schedule.test(time)
+    role = lambda fold, name: F.struct(fold.alias("fold"), F.lit(name).alias("role"))
+    trains = F.when(slot < schedule.folds, F.transform(F.sequence(slot, F.lit(schedule.folds - 1)), lambda k: role(k, "train"))).otherwise(F.array().cast("array<struct<fold: int, role: string>>"))
+    tests = F.when(test.isNotNull(), F.array(role(test, "test"))).otherwise(F.array().cast("array<struct<fold: int, role: string>>"))
+    return df.select("*", F.inline(F.concat(trains, tests)))

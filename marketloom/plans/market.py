@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import clean, coverage, inference, joins, kernels, metrics, rules, series
+from ..operators import clean, coverage, inference, joins, kernels, metrics, rules, series, walkforward
 from ..sources import decode
 from ..streaming import streams
 from .views import DAY_MS, FUNDING, HOUR_MS, PRINTS, TICKS, candles, candles_sql, epoch_ms, funding, prints, table, ticks
@@ -441,8 +441,8 @@ def b10(spark, d):
 
 @_register("b17_walk_forward", f"with {candles_sql()}, e as (select min(open_time_ms) as a, max(open_time_ms) as b from candles), f as (select a, unnest(range(0, (b - a - {180 * DAY_MS}) // {30 * DAY_MS} + 1)) as fold from e), s as (select fold, a + {180 * DAY_MS} + fold * {30 * DAY_MS} as start from f) select cast(fold as integer) as fold, symbol, count(*) filter (open_time_ms < start - {DAY_MS // 4}) as train, count(*) filter (open_time_ms >= start and open_time_ms < start + {30 * DAY_MS}) as test from s, candles group by 1, 2")
 def b17(spark, d):
-    x = inference.walk_forward_folds(candles(spark, d), "open_time_ms", 180 * DAY_MS, 30 * DAY_MS, DAY_MS // 4)
-    return x.groupBy("fold", "symbol").agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
+    x = candles(spark, d).select("symbol", "open_time_ms")
+    return walkforward.fold_counts(x, ["symbol"], "open_time_ms", walkforward.Schedule.of(x, "open_time_ms", 180 * DAY_MS, 30 * DAY_MS, DAY_MS // 4))
 
 
 # ---- sets and coverage ----

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import audit, evidence, inference, metrics, series
+from ..operators import audit, evidence, metrics, series, walkforward
 from . import market
 from .market import _BREAKS, _HOURS, _SEG, _breaks, _hours, _over, _register, r, rounded
 from .views import DAY_MS, FUNDING, HOUR_MS, TICKS, candles, candles_sql, epoch_ms, funding, table, ticks
@@ -198,9 +198,9 @@ def b15(spark, d):
 
 @_register("b18_train_moments", f"with {candles_sql()}, e as (select min(open_time_ms) as a, max(open_time_ms) as b from candles), f as (select a, unnest(range(0, (b - a - {180 * DAY_MS}) // {30 * DAY_MS} + 1)) as fold from e), s as (select fold, a + {180 * DAY_MS} + fold * {30 * DAY_MS} as start from f) select cast(fold as integer) as fold, {r('avg(volume)', 4)} as mean, {r('case when stddev_pop(volume) > 0 then stddev_pop(volume) else 1 end', 4)} as scale from s, candles where open_time_ms < start - {DAY_MS // 4} group by 1")
 def b18(spark, d):
-    x = inference.walk_forward_folds(candles(spark, d), "open_time_ms", 180 * DAY_MS, 30 * DAY_MS, DAY_MS // 4).where("role = 'train'")
-    spread = F.stddev_pop("volume")
-    return rounded(x.groupBy("fold").agg(F.avg("volume").alias("mean"), F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("scale")), 4)
+    x = candles(spark, d).select("open_time_ms", "volume")
+    schedule = walkforward.Schedule.of(x, "open_time_ms", 180 * DAY_MS, 30 * DAY_MS, DAY_MS // 4)
+    return rounded(walkforward.train_moments(x, "volume", "open_time_ms", schedule), 4)
 
 
 @_register("b20_correlation", f"with {candles_sql()} select symbol, count(*) as n, {r('corr(volume, trade_count)')} as pearson from candles group by 1")
