@@ -11,7 +11,7 @@ from ..sources import files
 from ..stored import shared_folder
 from ..streaming import streams
 from .market import _register, r, rounded
-from .views import DAY_MS, FUNDING, candles, candles_sql, funding, table
+from .views import DAY_MS, HOUR_MS, TICKS, candles, candles_sql, table, ticks
 
 _YEAR = "year(make_timestamp(open_time_ms * 1000))"
 
@@ -70,9 +70,10 @@ def s01_faults(spark, d):
     return x.where("file_year % 7 <> 6 or line = 1")
 
 
-@_register("s03_funding_files", f"with {FUNDING} select symbol, funding_time_ms, {r('rate', 8)} as rate, case when funding_time_ms % 3 = 0 then {r('rate * 2', 8)} end as mark_price from funding")
+@_register("s03_funding_files", f"with {TICKS}, rates as (select symbol, ts_ms - ts_ms % {8 * HOUR_MS} + {8 * HOUR_MS} as funding_time_ms, max(price) / 100000 as rate from ticks group by 1, 2) select symbol, funding_time_ms, {r('rate', 8)} as rate, case when funding_time_ms % 3 = 0 then {r('rate * 2', 8)} end as mark_price from rates")
 def s03(spark, d):
-    f = funding(spark, d)
+    time = F.expr(f"ts_ms - ts_ms % {8 * HOUR_MS}L + {8 * HOUR_MS}L")
+    f = ticks(spark, d).groupBy("symbol", time.alias("funding_time_ms")).agg((F.max("price") / 100_000).alias("rate"))
     span = f.groupBy("symbol").agg(F.min("funding_time_ms").alias("start_time_ms"), F.max("funding_time_ms").alias("end_time_ms"))
     x = f.join(span, "symbol").withColumn("mark_price", F.when(F.col("funding_time_ms") % 3 == 0, F.col("rate") * 2))
     path = _place(spark, "funding")

@@ -45,9 +45,10 @@ _HORIZON = 3 * DAY_MS
  sizes as (select fold, market, count(*) filter (train) as train, count(*) filter (cal) as calibration, count(*) filter (test) as test, count(distinct target) filter (train) as classes from parts group by 1, 2),
  classes as (select fold, market, target, avg(v) as mean from parts where train group by 1, 2, 3), groups as (select distinct market, cohort, target from x),
  means as (select fold, market, cohort, target, count(*) as n, avg(v) as mean from parts where train group by 1, 2, 3, 4)
-select s.fold, g.market, g.cohort, g.target, coalesce(n, 0) as n, round(case when coalesce(n, 0) >= 30 then m.mean else c.mean end + {_OFF_TIES}::double, 6) as expected, coalesce(n, 0) < 30 as from_market, train, calibration, test
+select strftime(s.fold, '%Y-%m') as fold, g.market, g.cohort, g.target, coalesce(n, 0) as n, round(case when coalesce(n, 0) >= 30 then m.mean else c.mean end + {_OFF_TIES}::double, 6) as expected, coalesce(n, 0) < 30 as from_market, train, calibration, test
  from sizes s join groups g on g.market = s.market join classes c on c.fold = s.fold and c.market = g.market and c.target = g.target left join means m on m.fold = s.fold and m.market = g.market and m.cohort = g.cohort and m.target = g.target where classes = 2""",
 )
 def b16(spark, d):
     x = prints(spark, d).select(F.when(F.col("is_buyer_maker"), "maker").otherwise("taker").alias("market"), "symbol", "ts_ms", (F.col("drift") - F.col("spread")).cast("double").alias("net"))
-    return rounded(walkforward.monthly_expectations(x, "market", "symbol", "ts_ms", "net", 1.0, _HORIZON, 2, 30).withColumn("expected", F.col("expected") + _OFF_TIES))
+    x = walkforward.monthly_expectations(x, "market", "symbol", "ts_ms", "net", 1.0, _HORIZON, 2, 30)
+    return rounded(x.withColumns({"fold": F.date_format("fold", "yyyy-MM"), "expected": F.col("expected") + _OFF_TIES}))
