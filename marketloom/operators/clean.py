@@ -60,3 +60,28 @@ def trade_bars(trades: DataFrame, step_ms: int) -> DataFrame:
         F.max("price").alias("high"), F.min("price").alias("low"), F.sum(F.col("price") * F.col("qty")).alias("notional"), F.sum(signed).alias("signed_notional"),
     )
     return b.withColumn("signed_share", F.when(F.col("notional") > 0, F.col("signed_notional") / F.col("notional")))
+
+
+def derived_bars(parts: DataFrame, natives: DataFrame, part_ms: int, whole_ms: int) -> DataFrame:
+    """Bars of ``whole_ms`` from closed ones of ``part_ms``, held against the venue's own, with sums that are exact.
+
+    ``parts`` and ``natives``: symbol, open_time_ms, open, high, low, close,
+    volume, quote_volume (decimals) and trade_count.  Returns symbol,
+    open_time_ms, the derived values, n_parts and status: incomplete (a part is
+    missing), foreign (a part off the grid or twice), unmatched (no native bar),
+    close, volume or count (that value differs, the first that does), else
+    ready.  Sums are of decimals, so they are equal or not, without a tolerance.
+    """
+    need = whole_ms // part_ms
+    whole = F.expr(f"open_time_ms - pmod(open_time_ms, {whole_ms}L)")
+    off = F.col("open_time_ms") % part_ms != 0
+    x = parts.groupBy("symbol", whole.alias("_open")).agg(
+        F.min_by("open", "open_time_ms").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time_ms").alias("close"),
+        F.sum("volume").cast("decimal(38,18)").alias("volume"), F.sum("quote_volume").cast("decimal(38,18)").alias("quote_volume"), F.sum("trade_count").alias("trade_count"),
+        F.count("*").alias("n_parts"), F.count_distinct("open_time_ms").alias("_slots"), F.max(off).alias("_off"),
+    )
+    own = natives.select("symbol", F.col("open_time_ms").alias("_open"), F.col("close").alias("_c"), F.col("volume").alias("_v"), F.col("quote_volume").alias("_q"), F.col("trade_count").alias("_n"))
+    x = x.join(own, ["symbol", "_open"], "left")
+    status = F.when(F.col("_off") | (F.col("_slots") < F.col("n_parts")), "foreign").when(F.col("n_parts") < need, "incomplete").when(F.col("_c").isNull(), "unmatched")
+    status = status.when(F.col("close") != F.col("_c"), "close").when((F.col("volume") != F.col("_v")) | (F.col("quote_volume") != F.col("_q")), "volume").when(F.col("trade_count") != F.col("_n"), "count").otherwise("ready")
+    return x.select("symbol", F.col("_open").alias("open_time_ms"), "open", "high", "low", "close", "volume", "quote_volume", "trade_count", "n_parts", status.alias("status"))

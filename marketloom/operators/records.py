@@ -14,7 +14,7 @@ def strict_rates(rows: DataFrame, expected: str, body: str) -> DataFrame:
     x = rows.withColumn("_j", j)
     time, rate = F.expr("try_cast(_j.fundingTime as bigint)"), F.expr("try_cast(_j.fundingRate as double)")
     x = x.withColumns({"time_ms": time, "rate": rate})
-    valid = (F.col("_j.symbol") == F.col(expected)) & (F.col("time_ms") >= 0) & F.col("rate").isNotNull() & ~F.isnan("rate") & (F.abs("rate") < 1e308)
+    valid = (F.col("_j.symbol") == F.col(expected)) & (F.col("time_ms") >= 0) & F.col("rate").isNotNull() & ~F.isnan("rate") & (F.abs("rate") != F.lit(float("inf")))
     return x.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_j")
 
 

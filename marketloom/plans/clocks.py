@@ -1,13 +1,14 @@
-"""Registered queries of two-clock selection and clipped book windows."""
+"""Registered queries of two-clock selection, clipped book windows, derived bars and labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clocks
+from ..functions import scalars
+from ..operators import clean, clocks
 from .live import SPEED, START_MS
 from .market import _register, r, rounded
-from .views import HOUR_MS, TICKS, ticks
+from .views import HOUR_MS, PRINTS, TICKS, prints, ticks
 
 # ---- observations with an event and a receipt clock: some are received late, some identities come twice with other values ----
 _LATE = "case when agg_id % 9 = 0 then 5400000 when agg_id % 4 = 0 then 240000 else 800 end"
@@ -90,3 +91,53 @@ def w44(spark, d):
     # a dozen prior bars for 8,640, which the tables do not have
     x = clocks.liquidity_bars(_states(spark, d), _states(spark, d), _PRIOR, max_age_ms=60_000)
     return rounded(x.withColumns({c: F.round(c, 4) for c in ("signed_notional", "notional", "flow_imbalance_rz", "bar_return_rz")}))
+
+
+# ---- derived bars: twelve five-minute bars of the fast feed make an hour, held against hours from the trades ----
+_HOURS = "first(price order by agg_id) as open, max(price) as high, min(price) as low, last(price order by agg_id) as close, sum(cast(qty as decimal(38, 18))) as volume, sum(cast(price as decimal(18, 4)) * cast(qty as decimal(18, 4))) as quote_volume, count(*) as trade_count"
+
+
+def _bars_of(fast, ms: int):
+    price, qty = F.col("price").cast("decimal(18,4)"), F.col("qty").cast("decimal(18,4)")
+    return fast.groupBy("symbol", F.expr(f"ts_ms - pmod(ts_ms, {ms}L)").alias("open_time_ms")).agg(
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
+        F.sum(qty).cast("decimal(38,18)").alias("volume"), F.sum(price * qty).cast("decimal(38,18)").alias("quote_volume"), F.count("*").alias("trade_count"),
+    )
+
+
+@_register(
+    "p07_derived_hours",
+    f"""with {TICKS}, fast as (select *, {START_MS} + (ts_ms - {START_MS}) // {SPEED} as fast_ms from ticks), parts as (select symbol, fast_ms - fast_ms % 300000 as open_ms, {_HOURS} from fast group by 1, 2),
+ kept as (select * from parts where not (symbol = 'view' and open_ms % 2100000 = 0)), native as (select symbol, fast_ms - fast_ms % 3600000 as open_ms, {_HOURS} from fast group by 1, 2),
+ whole as (select symbol, open_ms - open_ms % 3600000 as open_ms, first(open order by open_ms) as open, max(high) as high, min(low) as low, last(close order by open_ms) as close, sum(volume) as volume, sum(quote_volume) as quote_volume, cast(sum(trade_count) as bigint) as trade_count, count(*) as n_parts from kept group by 1, 2)
+select w.symbol, w.open_ms as open_time_ms, w.open, w.high, w.low, w.close, cast(w.volume as double) as volume, cast(w.quote_volume as double) as quote_volume, w.trade_count, n_parts,
+ case when n_parts < 12 then 'incomplete' when w.symbol = 'error' then 'unmatched' when w.symbol = 'signup' then 'close' when w.symbol = 'purchase' then 'volume' else 'ready' end as status from whole w join native n using (symbol, open_ms)""",
+)
+def p07(spark, d):
+    """Parts of one symbol are taken out; natives of others are taken out, or moved by a price tick or by far less than a double of the sum would show."""
+    fast = _states(spark, d)
+    parts = _bars_of(fast, 300_000).where("not (symbol = 'view' and open_time_ms % 2100000 = 0)")
+    natives = _bars_of(fast, 3_600_000).where("symbol <> 'error'")
+    natives = natives.withColumn("close", F.when(F.col("symbol") == "signup", F.col("close") + 0.01).otherwise(F.col("close")))
+    last_digit = F.lit("0.0000000000001").cast("decimal(38,18)")
+    natives = natives.withColumn("quote_volume", F.when(F.col("symbol") == "purchase", (F.col("quote_volume") + last_digit).cast("decimal(38,18)")).otherwise(F.col("quote_volume")))
+    x = clean.derived_bars(parts, natives, 300_000, 3_600_000)
+    return x.withColumns({c: F.col(c).cast("double") for c in ("volume", "quote_volume")})
+
+
+# ---- labels, ids and strengths ----
+@_register(
+    "f06_labels",
+    f"""with {PRINTS}, x as (select *, (drift - 5) / 1000.0::double as long_net, (4 - drift) / 1000.0::double as short_net from prints)
+select case when long_net > 0.002::double and long_net > short_net then 'LONG' when short_net > 0.002::double and short_net > long_net then 'SHORT' else 'FLAT' end as label, count(*) as n, count(distinct substr(sha256(concat_ws('|', symbol, ts_ms, drift)), 1, 24)) as ids, min(substr(sha256(concat_ws('|', symbol, ts_ms, drift)), 1, 24)) as first_id,
+ cast(sum(floor(1e6::double * abs(long_net) / (1 + abs(long_net)) * (spread / 8.0::double) + 1e-7::double)) as bigint) as strength from x group by 1""",
+)
+def f06(spark, d):
+    x = prints(spark, d).withColumns({"long_net": (F.col("drift") - 5) / 1000.0, "short_net": (4 - F.col("drift")) / 1000.0})
+    # the strengths are of few values; a hair above each keeps engines from rounding a whole one down
+    value = F.abs("long_net") / (1 + F.abs("long_net"))
+    strength = scalars.squash(F.col("long_net"), F.col("spread") / 8.0)
+    hair = F.when(F.floor(F.lit(1e6) * value * (F.col("spread") / 8.0) + 1e-7) > strength, 1).otherwise(0)
+    ident = scalars.decision_id(F.col("symbol"), F.col("ts_ms").cast("string"), F.col("drift").cast("string"))
+    x = x.select(scalars.outcome_label(F.col("long_net"), F.col("short_net"), 0.002).alias("label"), ident.alias("id"), (strength + hair).alias("s"))
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("first_id"), F.sum("s").alias("strength"))

@@ -18,8 +18,8 @@ from test_signals import _ordered
 SMALL = "/root/testdata/sf0.001"
 SF = "/root/testdata/sf0.01"  # bars of the smallest tables have gaps, so none has structure
 NAMES = {
-    SMALL: ["t02_late_bars", "t03_intrabar_anomalies", "t05_sliding_flow", "t07_latest_quotes", "t08_stream_dedup_repeats", "t09_gap_hold", "j07_two_clocks", "w41_book_windows", "w44_liquidity_bars", "b03_paired_ratio_contrasts", "b04_moving_block_contrasts", "b06_exact_endpoints", "b07_shared_calendar_bounds", "b16_monthly_walk_forward", "s01_csv_rows", "s01_csv_faults", "s02_repeated_sink", "s03_funding_files", "s11_raw_events", "s16_artifacts", "o01_output_order"],
-    SF: ["w22_qualified_pivots", "w23_structure_state", "w24_pullback_metrics", "r03_pullback_rules"],
+    SMALL: ["t02_late_bars", "t03_intrabar_anomalies", "t05_sliding_flow", "t07_latest_quotes", "t08_stream_dedup_repeats", "t09_gap_hold", "j07_two_clocks", "w41_book_windows", "w44_liquidity_bars", "b03_paired_ratio_contrasts", "b04_moving_block_contrasts", "b06_exact_endpoints", "b07_shared_calendar_bounds", "b16_monthly_walk_forward", "s01_csv_rows", "s01_csv_faults", "s02_repeated_sink", "s03_funding_files", "s11_raw_events", "s16_artifacts", "o01_output_order", "f06_labels"],
+    SF: ["p07_derived_hours", "w22_qualified_pivots", "w23_structure_state", "w24_pullback_metrics", "r03_pullback_rules"],
 }
 
 
