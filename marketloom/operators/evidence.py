@@ -84,7 +84,7 @@ def fit_sigmoid(df: DataFrame, by: list[str], logit: str, label: str, temperatur
 
 def calibration(df: DataFrame, by: list[str], p: str, label: str, order: list[str], bins: int = 10) -> DataFrame:
     """(by, n, loss, brier, ece) with bins of equal count."""
-    x = df.withColumn("_bin", equal_count_bins(df, by, [p, *order], bins))
+    x = equal_count_bins(df, by, [p, *order], bins, "_bin")
     each = x.groupBy(*by, "_bin").agg(F.count("*").alias("_n"), F.sum(log_loss(F.col(p), F.col(label))).alias("_l"), F.sum(F.pow(F.col(p) - F.col(label), F.lit(2.0))).alias("_s"), F.abs(F.sum(F.col(p)) - F.sum(label)).alias("_e"))
     n = F.sum("_n")
     return each.groupBy(*by).agg(n.alias("n"), (F.sum("_l") / n).alias("loss"), (F.sum("_s") / n).alias("brier"), (F.sum("_e") / n).alias("ece"))

@@ -6,22 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, strict: bool = True, max_age: int | None = None) -> DataFrame:
+def asof(
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
+    strict: bool = True, max_age: int | None = None, bucket_ms: int | None = None,
+) -> DataFrame:
     """``left`` with the latest ``right`` row before (``strict``) or at its time, as struct ``matched``.
 
     One sort of the union by key and time: at equal times left rows come first
     when strict, right rows otherwise.  No row of ``right`` after the left time
-    is ever seen.  Older than ``max_age`` counts as none.
+    is ever seen.  Older than ``max_age`` counts as none.  With ``bucket_ms``
+    the sorts are of one key and time bucket each, and the last row of all
+    earlier buckets, one row a bucket, serves where a bucket has none before.
+    Rows of ``right`` without a time match nothing.
     """
-    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*right.columns)).schema[0].dataType).alias("_right"))
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.struct(*right.columns).alias("_right"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    r = right.where(F.col(right_time).isNotNull())
+    found = r.select(F.struct(*r.columns)).schema[0].dataType
+    l = left.select(*keys, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(found).alias("_right"))
+    r = r.select(*keys, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.struct(*r.columns).alias("_right"))
+    part = list(keys)
+    if bucket_ms is not None:
+        part.append("_bucket")
+        l, r = (x.withColumn("_bucket", F.floor(F.col("_t") / bucket_ms)) for x in (l, r))
+    w = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     x = l.unionByName(r).withColumn("_match", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    if bucket_ms is not None:
+        x = _carried(x, l, r, keys)
     if max_age is not None:
         x = x.withColumn("_match", F.when(F.col("_t") - F.col("_match")[right_time] <= max_age, F.col("_match")))
     return x.select("_left.*", F.col("_match").alias("matched"))
 
 
+def _carried(x: DataFrame, l: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
+    """Fills ``_match`` from earlier buckets of the key: the last row of each bucket, carried over one row a bucket."""
+    part = [*keys, "_bucket"]
+    lasts = r.groupBy(*part).agg(F.max_by("_right", "_t").alias("_last"))
+    asked = l.select(*part).distinct()
+    both = asked.withColumn("_last", F.lit(None).cast(lasts.schema["_last"].dataType)).unionByName(lasts)
+    both = both.groupBy(*part).agg(F.first("_last", ignorenulls=True).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("_before", F.last("_last", ignorenulls=True).over(earlier)).where("_before is not null").drop("_last")
+    match = F.lit(True)
+    for c in part:
+        match = match & F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return x.alias("x").join(both.alias("b"), match, "left").select("x._t", "x._left", F.coalesce("x._match", "b._before").alias("_match"))
+
+
 def _sum_upto(events: DataFrame, points: DataFrame, keys: list[str], at: str, time: str, inclusive: bool, name: str, bucket_ms: int) -> DataFrame:
     """Adds the sum of ``_value`` over points before ``at`` (and at it); windows inside time buckets, then over the buckets' sums."""
     bucket = lambda t: F.floor(F.col(t) / bucket_ms).alias("_bucket")

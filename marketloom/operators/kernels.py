@@ -8,6 +8,7 @@ early agrees with the whole series to 1e-12.  One long key is thus many groups.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -66,23 +67,51 @@ NAMES = ["ema9", "ema20", "ema50", "ema200", "rsi", "atr", "plus_di", "minus_di"
 RUN_IN = math.ceil(math.log(1e-12) / math.log(1 - 2 / 201))
 
 
-def recursive_series(segments: DataFrame, chunk_rows: int = CHUNK_ROWS, run_in: int = RUN_IN) -> DataFrame:
-    """Adds the recursive indicators to bars with ``symbol``, ``seg`` and ``open_time_ms``.
+def placed(rows: DataFrame, keys: list[str], order: list[str], name: str, bucket: int | None = None) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in its key's order.
+
+    With ``bucket``, the width of a step of the first order column (a number),
+    rows are sorted within key and bucket and the counts of earlier buckets are
+    added, so no task sorts a whole key.  Rows without that number come first.
+    """
+    if bucket is None:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    part = [*keys, "_bucket"]
+    x = rows.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy(*part).agg(F.count("*").alias("_n"))
+    counts = counts.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    match = F.lit(True)
+    for c in part:
+        match = match & F.col(f"x.{c}").eqNullSafe(F.col(f"c.{c}"))
+    x = x.alias("x").join(counts.alias("c"), match)
+    return x.select(*(F.col(f"x.`{c}`") for c in rows.columns), (F.col("_at") + F.col("_before")).alias(name))
+
+
+#: Step of time in which rows of a series are counted before they are cut in chunks.
+COUNT_MS = 1000 * 86_400_000
+
+
+def recursive_series(
+    segments: DataFrame, chunk_rows: int = CHUNK_ROWS, run_in: int = RUN_IN,
+    kernel: Callable[[pd.DataFrame], pd.DataFrame] = indicators, results: list[str] | None = None,
+) -> DataFrame:
+    """Adds the recursive indicators, or ``results`` of another ``kernel``, to bars with ``symbol``, ``seg`` and ``open_time_ms``.
 
     Causal: a row depends on earlier rows of its segment only.  Short segments
     give nulls until the smoothers are seeded.
     """
-    place = F.row_number().over(Window.partitionBy("symbol", "seg").orderBy("open_time_ms")) - 1
     own = F.floor(F.col("rn") / chunk_rows).cast("int")
-    placed = segments.withColumn("rn", place)
+    numbered = placed(segments, ["symbol", "seg"], ["open_time_ms"], "rn", COUNT_MS)
     needed = F.when((F.col("rn") + run_in) / chunk_rows >= own + 1, F.array(own, own + 1)).otherwise(F.array(own))
-    chunks = placed.withColumn("own", own).withColumn("chunk", F.explode(needed))
+    chunks = numbered.withColumn("own", own).withColumn("chunk", F.explode(needed))
     names = list(segments.columns)
     fields = ", ".join(f"{c} {t}" for c, t in segments.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("open_time_ms", kind="stable")
-        found = pd.concat([group[names], indicators(group)], axis=1)
+        found = pd.concat([group[names], kernel(group)], axis=1)
         return found[(group["own"] == group["chunk"]).to_numpy()].replace({np.nan: None})
 
-    return chunks.groupBy("symbol", "seg", "chunk").applyInPandas(run, fields + "".join(f", {n} double" for n in NAMES))
+    return chunks.groupBy("symbol", "seg", "chunk").applyInPandas(run, fields + "".join(f", {n} double" for n in results or NAMES))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import numbered
+
 
 def trade_metrics(net: str = "net_return") -> list[Column]:
     """Count, sums, mean, median, win rate and profit factor of returns."""
@@ -44,7 +46,16 @@ def calendar(df: DataFrame, by: str, day: str, value: str, step: int) -> DataFra
     return grid.join(df.groupBy(by, day).agg(F.sum(value).alias(value)), [by, day], "left").fillna(0, [value])
 
 
-def equal_count_bins(df: DataFrame, by: list[str], order: list[str], bins: int) -> Column:
-    """Bin i holds rows [i*n/k, (i+1)*n/k) in order."""
-    w = Window.partitionBy(*by)
-    return F.floor((F.row_number().over(w.orderBy(*order)) * bins - 1) / F.count("*").over(w)).cast("int")
+def equal_count_bins(df: DataFrame, by: list[str], order: list[str], bins: int, name: str) -> DataFrame:
+    """Adds ``name``: bin i holds rows [i*n/k, (i+1)*n/k) of its group in order.
+
+    Rows are sorted by range over all tasks, so one group may hold any share of
+    them; groups with nulls in ``by`` are groups of their own.  An empty table
+    gives an empty one.
+    """
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
+    x = numbered(df, order, "_place", by).alias("p").join(sizes.alias("s"), match)
+    return x.select("p.*", F.floor((F.col("_place") * bins - 1) / F.col("_n")).cast("int").alias(name)).drop("_place")

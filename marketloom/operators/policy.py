@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof
+
 # Fixed values: (least value, points), highest first.
 _ADX_POINTS = ((20, 15), (15, 8))
 _ACTIVITY_POINTS = ((1.0, 35), (0.5, 25), (0.0, 10))
@@ -118,27 +120,22 @@ def action_label(market: Column, family: Column, direction: Column, informationa
     return out.otherwise(F.concat(F.lit("FUTURES_"), F.when(long, "LONG").otherwise("SHORT"), F.when(leaves, "_EXIT").otherwise("")))
 
 
-def fee_versions(fills: DataFrame, captures: DataFrame, keys: list[str], fill_time: str, capture_time: str, rate: str) -> DataFrame:
+def fee_versions(fills: DataFrame, captures: DataFrame, keys: list[str], fill_time: str, capture_time: str, rate: str, bucket_ms: int | None = None) -> DataFrame:
     """``fills`` with ``fee_rate`` and ``fee_status`` by the captures around them.
 
     A rate is known at a capture, and between two captures that agree.  After
     the last capture it is pending, between differing ones inconclusive, before
-    the first one unknown.  ``captures`` has one row a key and time.
+    the first one unknown.  ``captures`` has one row a key and time; each takes
+    its next one's rate along, so fills are sorted once (within ``bucket_ms``).
     """
-    f = fills.select(*keys, F.col(fill_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*fills.columns).alias("_fill"), F.lit(None).cast("struct<at:long,rate:double>").alias("_capture"))
-    seen = F.struct(F.col(capture_time).cast("long").alias("at"), F.col(rate).cast("double").alias("rate"))
-    s = captures.select(*keys, F.col(capture_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(f.schema["_fill"].dataType).alias("_fill"), seen.alias("_capture"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side")
-    around = {
-        "_left": F.last("_capture", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        # in the same order backwards, later captures come before the fill
-        "_right": F.last("_capture", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)),
-    }
-    x = f.unionByName(s).withColumns(around).where("_fill is not null")
-    left, right = F.col("_left"), F.col("_right")
-    known = (left["at"] == F.col("_t")) | (left["rate"] == right["rate"])
-    status = F.when(left.isNull(), "NO_CAPTURE_BEFORE").when(known, "RESOLVED").when(right.isNull(), "PENDING_OPEN_TAIL").otherwise("INCONCLUSIVE_FEE_VERSION")
-    return x.select("_fill.*", status.alias("fee_status"), F.when(status == "RESOLVED", left["rate"]).alias("fee_rate"))
+    following = F.lead("_rate").over(Window.partitionBy(*keys).orderBy("_at"))
+    c = captures.select(*keys, F.col(capture_time).cast("long").alias("_at"), F.col(rate).cast("double").alias("_rate"))
+    c = c.withColumns({"_next": following, "_open": F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at")).isNull()})
+    x = asof(fills, c, keys, fill_time, "_at", strict=False, bucket_ms=bucket_ms)
+    m = F.col("matched")
+    known = (m["_at"] == F.col(fill_time)) | (m["_rate"] == m["_next"])
+    status = F.when(m.isNull(), "NO_CAPTURE_BEFORE").when(known, "RESOLVED").when(m["_open"], "PENDING_OPEN_TAIL").otherwise("INCONCLUSIVE_FEE_VERSION")
+    return x.withColumns({"fee_status": status, "fee_rate": F.when(status == "RESOLVED", m["_rate"])}).drop("matched")
 
 
 def position_fees(slices: DataFrame, keys: list[str], notional: str) -> DataFrame:

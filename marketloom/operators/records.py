@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import placed
+
 
 def strict_rates(rows: DataFrame, expected: str, body: str) -> DataFrame:
     """(columns, time_ms, rate, valid): JSON of symbol, fundingTime and fundingRate, all three right or the row is invalid."""
@@ -104,21 +106,22 @@ def _sliding(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return median, mad, ecdf
 
 
-def sorted_window(rows: DataFrame, keys: list[str], order: list[str], column: str, n: int, chunk_rows: int = 50_000) -> DataFrame:
+def sorted_window(rows: DataFrame, keys: list[str], order: list[str], column: str, n: int, chunk_rows: int = 50_000, bucket: int | None = None) -> DataFrame:
     """Adds prior_median, prior_mad and prior_ecdf of ``column`` over the ``n`` rows strictly before each row.
 
     Null until there are ``n``.  A long series is cut in chunks that begin ``n``
     rows early, so one key is many groups, and each keeps one sorted window
     instead of a list of ``n`` values for every row.  Rows without a value are
-    left out; ``n`` is at most ``chunk_rows``.
+    left out; ``n`` is at most ``chunk_rows``.  With ``bucket``, a step of the
+    first order column, no task sorts a whole key to number its rows.
     """
     if not 0 < n <= chunk_rows:
         raise ValueError("n must be between 1 and chunk_rows")
     names = list(rows.columns)
-    placed = rows.where(F.col(column).isNotNull()).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    numbered = placed(rows.where(F.col(column).isNotNull()), keys, order, "_rn", bucket)
     own = F.floor(F.col("_rn") / chunk_rows).cast("int")
     needed = F.when(F.col("_rn") % chunk_rows >= chunk_rows - n, F.array(own, own + 1)).otherwise(F.array(own))
-    chunks = placed.withColumn("_own", own).withColumn("_chunk", F.explode(needed))
+    chunks = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(needed))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_rn", kind="stable")

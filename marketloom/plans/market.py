@@ -228,13 +228,13 @@ def w03(spark, d):
 # ---- joins ----
 @_register("j01_asof_strict", f"with {FUNDING} select t.agg_id, f.funding_time_ms as matched_ms, f.rate as rate from ticks t asof left join funding f on t.symbol = f.symbol and t.ts_ms > f.funding_time_ms")
 def j01(spark, d):
-    x = joins.asof(ticks(spark, d), funding(spark, d), ["symbol"], "ts_ms", "funding_time_ms")
+    x = joins.asof(ticks(spark, d), funding(spark, d), ["symbol"], "ts_ms", "funding_time_ms", bucket_ms=DAY_MS)
     return x.select("agg_id", F.col("matched.funding_time_ms").alias("matched_ms"), F.col("matched.rate").alias("rate"))
 
 
 @_register("j02_asof_fresh", f"with {FUNDING} select t.agg_id, case when t.ts_ms - f.funding_time_ms <= {4 * HOUR_MS} then f.rate end as rate from ticks t asof left join funding f on t.symbol = f.symbol and t.ts_ms >= f.funding_time_ms")
 def j02(spark, d):
-    x = joins.asof(ticks(spark, d), funding(spark, d), ["symbol"], "ts_ms", "funding_time_ms", strict=False, max_age=4 * HOUR_MS)
+    x = joins.asof(ticks(spark, d), funding(spark, d), ["symbol"], "ts_ms", "funding_time_ms", strict=False, max_age=4 * HOUR_MS, bucket_ms=DAY_MS)
     return x.select("agg_id", F.col("matched.rate").alias("rate"))
 
 
@@ -333,8 +333,8 @@ def a11(spark, d):
 
 @_register("a20_equal_count_bins", "with k as (select l_returnflag, l_quantity, l_extendedprice, floor((row_number() over (partition by l_returnflag order by l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_quantity) * 10 - 1) / count(*) over (partition by l_returnflag)) as b from lineitem) select l_returnflag, cast(b as integer) as bin, count(*) as n, min(l_extendedprice) as low, max(l_extendedprice) as high from k group by 1, 2")
 def a20(spark, d):
-    x = table(spark, d, "lineitem")
-    x = x.withColumn("bin", metrics.equal_count_bins(x, ["l_returnflag"], ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], 10))
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    x = metrics.equal_count_bins(table(spark, d, "lineitem").select("l_returnflag", *order), ["l_returnflag"], order, 10, "bin")
     return x.groupBy("l_returnflag", "bin").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
 
 

@@ -74,7 +74,7 @@ _SLICES = f"""{FUNDING}, captures as (select symbol, funding_time_ms, {_RATE} as
 def _slices(spark, d):
     rate = F.when(F.expr("(funding_time_ms div 864000000) % 2 = 0"), 400.0).otherwise(500.0)
     captures = funding(spark, d).select("symbol", "funding_time_ms", rate.alias("ppm"))
-    return policy.fee_versions(ticks(spark, d), captures, ["symbol"], "ts_ms", "funding_time_ms", "ppm")
+    return policy.fee_versions(ticks(spark, d), captures, ["symbol"], "ts_ms", "funding_time_ms", "ppm", DAY_MS)
 
 
 @_register("j22_fee_versions", f"with {_SLICES} select agg_id, fee_status, case when fee_status = 'RESOLVED' then p_ppm::double end as fee_rate from slices")
@@ -101,7 +101,7 @@ _BOUNDS = f"""{FUNDING}, near as (select t.*, ts_ms - ts_ms % 10000 + 5000 as cu
 def _bounds(spark, d):
     at = F.col("funding_time_ms") * 1_000_000
     samples = funding(spark, d).select("symbol", "funding_time_ms", (F.col("funding_time_ms") + 3).alias("server_ms"), at.alias("request_ns"), (at + 20_000_000).alias("first_byte_ns"), (at + 25_000_000).alias("available_ns"))
-    x = joins.asof(ticks(spark, d), samples, ["symbol"], "ts_ms", "funding_time_ms", strict=False)
+    x = joins.asof(ticks(spark, d), samples, ["symbol"], "ts_ms", "funding_time_ms", strict=False, bucket_ms=DAY_MS)
     x = x.withColumns({"receipt_ns": F.col("ts_ms") * 1_000_000, "cutoff_ms": F.expr("ts_ms - pmod(ts_ms, 10000L) + 5000")})
     return policy.clock_bounds(x, "receipt_ns", "cutoff_ms", _AGE_MS * 1_000_000)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, records, series, signals
+from ..operators import joins, kernels, records, series, signals
 from ..sources import decode
 from .market import _BREAKS, _OFF_TIES, _SEG, _breaks, _over, _register, r, rounded
 from .views import DAY_MS, FUNDING, HOUR_MS, PRINTS, TICKS, candles, funding, prints, table, ticks
@@ -54,14 +54,14 @@ def s18(spark, d):
 
 @_register("u02_sorted_window", f"with {TICKS}, p as (select symbol, agg_id, price, row_number() over w as rn, list(price) over (partition by symbol order by agg_id rows between 300 preceding and 1 preceding) as past from ticks window w as (partition by symbol order by agg_id)), m as (select *, list_aggregate(past, 'quantile_cont', 0.5) as med from p where rn > 300) select symbol, agg_id, {r('med')} as prior_median, {r('list_aggregate(list_transform(past, lambda v: abs(v - med)), ' + chr(39) + 'quantile_cont' + chr(39) + ', 0.5)')} as prior_mad, {r('len(list_filter(past, lambda v: v <= price)) / 300.0::double')} as prior_ecdf from m")
 def u02(spark, d):
-    x = records.sorted_window(ticks(spark, d).select("symbol", "agg_id", "price"), ["symbol"], ["agg_id"], "price", 300, 1000)
+    x = records.sorted_window(ticks(spark, d).select("symbol", "agg_id", "price"), ["symbol"], ["agg_id"], "price", 300, 1000, 10_000)
     return rounded(x.where("prior_median is not null").select("symbol", "agg_id", "prior_median", "prior_mad", "prior_ecdf"))
 
 
 @_register("w37_volatility_regime", f"with {_SEG}, p as (select *, list(true_range) {_over(-60, -1)} as past from t), m as (select *, list_aggregate(past, 'quantile_cont', 0.5) as med from p where rn > 60), a as (select *, list_aggregate(list_transform(past, lambda v: abs(v - med)), 'quantile_cont', 0.5) as mad from m) select symbol, open_time_ms, {r('(true_range - med) / (mad * 1.4826::double)', 4)} as z from a where mad > 0")
 def w37(spark, d):
     x = series.with_segments(candles(spark, d), DAY_MS).withColumn("true_range", series.true_range()).select("symbol", "seg", "open_time_ms", "true_range")
-    x = records.sorted_window(x, ["symbol", "seg"], ["open_time_ms"], "true_range", 60)
+    x = records.sorted_window(x, ["symbol", "seg"], ["open_time_ms"], "true_range", 60, bucket=kernels.COUNT_MS)
     return rounded(x.where("prior_mad > 0").select("symbol", "open_time_ms", ((F.col("true_range") - F.col("prior_median")) / (F.col("prior_mad") * 1.4826)).alias("z")), 4)
 
 

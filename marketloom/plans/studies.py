@@ -143,7 +143,7 @@ def a17(spark, d):
 @_register("a19_score_gradient", f"with {_BREAKS}, binned as (select symbol, net_return, floor((row_number() over (partition by symbol order by round(mfe - mae, 9), open_time_ms) * 4 - 1) / count(*) over (partition by symbol)) as q from z) select symbol, cast(q as integer) as quartile, count(*) as n, {r('avg(net_return)')} as mean_net, cast(sum(round(net_return * 1000000)) as bigint) as net_micros from binned group by 1, 2")
 def a19(spark, d):
     x = _breaks(spark, d).withColumn("range", F.round(F.col("mfe") - F.col("mae"), 9))
-    x = x.withColumn("quartile", metrics.equal_count_bins(x, ["symbol"], ["range", "open_time_ms"], 4))
+    x = metrics.equal_count_bins(x.select("symbol", "range", "open_time_ms", "net_return"), ["symbol"], ["range", "open_time_ms"], 4, "quartile")
     return rounded(x.groupBy("symbol", "quartile").agg(F.count("*").alias("n"), F.avg("net_return").alias("mean_net"), F.sum(F.round(F.col("net_return") * 1000000).cast("long")).alias("net_micros")))
 
 

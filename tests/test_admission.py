@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import gates
+from marketloom.operators import gates, joins, kernels, metrics
 from marketloom.plans import admission, market
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,3 +74,32 @@ def test_contexts_keep_zero_and_bounds(spark):
     x = spark.sql("select s, named_struct('price', 3.0, 'fast', 2.0, 'slow', 1.0) as c from values (0), (50), (98) as t(s)")
     got = x.select(gates.context_adjusted(F.col("s"), F.lit(True), "c", "c").alias("up"), gates.context_adjusted(F.col("s"), F.lit(False), "c", "c").alias("down")).collect()
     assert [tuple(r) for r in got] == [(0, 0), (60, 40), (100, 88)]
+
+
+def test_asof_in_buckets_is_the_whole_sort(spark):
+    left = [("a", t, i) for i, t in enumerate([0, 5, 10, 10, 11, 35, 99, None])] + [("b", 3, 90), (None, 50, 91), ("c", 1, 92)]
+    right = [("a", 5, 1.0), ("a", 10, 2.0), ("a", 90, 3.0), ("a", None, 9.0), (None, 2, 4.0), ("b", 4, 5.0)]
+    l = spark.createDataFrame(left, "k string, t long, i long")
+    r = spark.createDataFrame(right, "k string, u long, v double")
+    for strict in (True, False):
+        want = {}
+        for k, t, i in left:
+            seen = [(u, v) for q, u, v in right if q == k and u is not None and t is not None and (u < t or (u == t and not strict))]
+            want[i] = max(seen)[1] if seen else None
+        for bucket in (None, 10, 1000):
+            got = joins.asof(l, r, ["k"], "t", "u", strict=strict, bucket_ms=bucket).collect()
+            assert {x["i"]: x["matched"] and x["matched"]["v"] for x in got} == want
+    aged = joins.asof(l, r, ["k"], "t", "u", strict=False, max_age=20, bucket_ms=10).where("i = 5").first()
+    assert aged["matched"] is None
+    assert joins.asof(l.limit(0), r.limit(0), ["k"], "t", "u", bucket_ms=10).count() == 0
+
+
+def test_numbering_and_bins_split_a_key(spark):
+    rows = [("a", t) for t in range(0, 300, 3)] + [("b", t) for t in (7, 1000, 5)] + [(None, 4), (None, 2)]
+    x = spark.createDataFrame(rows, "k string, t long")
+    want = {(k, t): i for k in ("a", "b", None) for i, t in enumerate(sorted(t for q, t in rows if q == k))}
+    for bucket in (None, 10, 10_000):
+        assert {(r["k"], r["t"]): r["at"] for r in kernels.placed(x, ["k"], ["t"], "at", bucket).collect()} == want
+    n = {k: sum(q == k for q, _ in rows) for k in ("a", "b", None)}
+    got = {(r["k"], r["t"]): r["bin"] for r in metrics.equal_count_bins(x, ["k"], ["t"], 4, "bin").collect()}
+    assert got == {(k, t): ((i + 1) * 4 - 1) // n[k] for (k, t), i in want.items()}
