@@ -100,8 +100,10 @@ def recursive_series(
     """Adds the recursive indicators, or ``results`` of another ``kernel``, to bars with ``symbol``, ``seg`` and ``open_time_ms``.
 
     Causal: a row depends on earlier rows of its segment only.  Short segments
-    give nulls until the smoothers are seeded.
+    give nulls until the smoothers are seeded.  ``run_in`` is at most ``chunk_rows``.
     """
+    if run_in > chunk_rows:
+        raise ValueError("run_in must not exceed chunk_rows")
     own = F.floor(F.col("rn") / chunk_rows).cast("int")
     numbered = placed(segments, ["symbol", "seg"], ["open_time_ms"], "rn", COUNT_MS)
     needed = F.when((F.col("rn") + run_in) / chunk_rows >= own + 1, F.array(own, own + 1)).otherwise(F.array(own))
