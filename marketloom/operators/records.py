@@ -118,6 +118,8 @@ def sorted_window(rows: DataFrame, keys: list[str], order: list[str], column: st
     if not 0 < n <= chunk_rows:
         raise ValueError("n must be between 1 and chunk_rows")
     names = list(rows.columns)
+    if clash := {"_rn", "_own", "_chunk", "_bucket", "_at"} & set(names):
+        raise ValueError(f"columns in use here: {sorted(clash)}")
     numbered = placed(rows.where(F.col(column).isNotNull()), keys, order, "_rn", bucket)
     own = F.floor(F.col("_rn") / chunk_rows).cast("int")
     needed = F.when(F.col("_rn") % chunk_rows >= chunk_rows - n, F.array(own, own + 1)).otherwise(F.array(own))
