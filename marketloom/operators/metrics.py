@@ -19,8 +19,18 @@ def trade_metrics(net: str = "net_return") -> list[Column]:
 
 
 def grouped(df: DataFrame, sets: list[list[str]], columns: list[str], metrics: list[Column]) -> DataFrame:
-    """Metrics of several grouping lists in one pass; columns outside a list are null."""
-    return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*metrics)
+    """Metrics of several different grouping lists in one pass; columns outside a list are null.
+
+    As in SQL, the empty list has its row even where ``df`` has none.
+    """
+    x = df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(F.grouping_id(*columns).cast("long").alias("_set"), *metrics)
+    if [] not in sets:
+        return x.drop("_set")
+    none = df.where(F.lit(False)).agg(*metrics)
+    values = F.struct(*none.columns).alias("_values")
+    nothing = none.select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns), F.lit(2 ** len(columns) - 1).cast("long").alias("_set"), F.lit(False).alias("_found"), values)
+    both = x.select(*columns, "_set", F.lit(True).alias("_found"), values).unionByName(nothing)
+    return both.groupBy(*columns, "_set").agg(F.max_by("_values", "_found").alias("_values")).select(*columns, "_values.*")
 
 
 def drawdown(df: DataFrame, by: list[str], time: str, net: str) -> DataFrame:

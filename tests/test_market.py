@@ -167,3 +167,12 @@ def test_depth_walk(spark):
 def test_most_open_counts_exits_first(spark):
     e = spark.createDataFrame([("a", 0, 5), ("a", 5, 9), ("a", 6, 8)], "k string, s long, e long")
     assert metrics.most_open(e, ["k"], "s", "e").first()["most_open"] == 2
+
+
+@pytest.mark.parametrize("name", ["a02_grouped_metrics"])
+def test_the_total_has_its_row_without_any_trade(spark, tmp_path, name):
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(30).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    theirs = duck.sql(market.oracle_sql()[name]).fetchall()
+    assert len(theirs) == 1 and [tuple(x) for x in market._queries[name](spark, str(tmp_path)).collect()] == theirs
