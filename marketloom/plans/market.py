@@ -306,7 +306,7 @@ def a02(spark, d):
 
 @_register("a04_cube", f"with {_BREAKS} select symbol, direction, count(*) as n, {r('avg(mfe)')} as mfe, {r('avg(mae)')} as mae from z group by cube (symbol, direction)")
 def a04(spark, d):
-    return rounded(_breaks(spark, d).cube("symbol", "direction").agg(F.count("*").alias("n"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae")))
+    return rounded(metrics.grouped(_breaks(spark, d), [[], ["symbol"], ["direction"], ["symbol", "direction"]], ["symbol", "direction"], [F.count("*").alias("n"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae")]))
 
 
 @_register("a08_most_open", f"with {_BREAKS}, e as (select symbol, open_time_ms as t, 1 as d from z union all select symbol, open_time_ms + {12 * DAY_MS}, -1 from z), ss as (select symbol, t, d, sum(d) as s from e group by 1, 2, 3), c as (select symbol, sum(s) over (partition by symbol order by t, d) as o from ss) select symbol, cast(max(o) as bigint) as most_open from c group by 1")

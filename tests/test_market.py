@@ -169,7 +169,7 @@ def test_most_open_counts_exits_first(spark):
     assert metrics.most_open(e, ["k"], "s", "e").first()["most_open"] == 2
 
 
-@pytest.mark.parametrize("name", ["a02_grouped_metrics"])
+@pytest.mark.parametrize("name", ["a02_grouped_metrics", "a04_cube"])
 def test_the_total_has_its_row_without_any_trade(spark, tmp_path, name):
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(30).write.parquet(f"{tmp_path}/lineitem.parquet")
     duck = duckdb.connect()
