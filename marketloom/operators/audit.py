@@ -50,12 +50,12 @@ def transitions(df: DataFrame, by: str, order: list[str], state: str) -> DataFra
     return x.where("before is not null").groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
-def coverage_time(df: DataFrame, by: str, time: str, category: str, stale_ms: int) -> DataFrame:
+def coverage_time(df: DataFrame, by: str, time: str, category: str, stale_ms: int, order: tuple[str, ...] = ()) -> DataFrame:
     """(by, category, covered_ms, longest_ms): time in each category; a state counts for ``stale_ms`` and is stale after that.
 
-    The last state of a key lasts for no time.
+    The last state of a key lasts for no time.  Of states of one time the last by ``order`` counts.
     """
-    x = df.withColumn("_d", F.lead(time).over(Window.partitionBy(by).orderBy(time)) - F.col(time)).where("_d > 0")
+    x = df.withColumn("_d", F.lead(time).over(Window.partitionBy(by).orderBy(time, *order)) - F.col(time)).where("_d > 0")
     parts = F.array(F.struct(F.col(category).alias("category"), F.least(F.col("_d"), F.lit(stale_ms)).alias("ms")), F.struct(F.lit("stale").alias("category"), (F.col("_d") - stale_ms).alias("ms")))
     return x.select(by, F.explode(parts).alias("x")).where("x.ms > 0").groupBy(by, "x.category").agg(F.sum("x.ms").alias("covered_ms"), F.max("x.ms").alias("longest_ms"))
 

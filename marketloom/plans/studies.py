@@ -224,7 +224,7 @@ def o05(spark, d):
 @_register("c06_coverage_time", f"with {TICKS}, d as (select symbol, case when is_buyer_maker then 'valid' else 'waiting' end as category, lead(ts_ms) over (partition by symbol order by ts_ms) - ts_ms as d from ticks), p as (select symbol, category, least(d, 600000) as ms from d where d > 0 union all select symbol, 'stale', d - 600000 from d where d > 600000) select symbol, category, cast(sum(ms) as bigint) as covered_ms, max(ms) as longest_ms from p group by 1, 2")
 def c06(spark, d):
     x = ticks(spark, d).withColumn("category", F.when(F.col("is_buyer_maker"), "valid").otherwise("waiting"))
-    return audit.coverage_time(x, "symbol", "ts_ms", "category", 600_000)
+    return audit.coverage_time(x, "symbol", "ts_ms", "category", 600_000, ("agg_id",))
 
 
 @_register("c08_clock_residuals", f"with {TICKS}, m as (select *, ts_ms * 1000000 + (agg_id % 300) * 500000 as mono from ticks), o as (select symbol, abs((ts_ms - lag(ts_ms) over k) * 1000000 - (mono - lag(mono) over k)) as o from m window k as (partition by symbol order by agg_id)) select symbol, case when o <= 2000000 then 'steady' when o <= 100000000 then 'slewed' else 'stepped' end as class, count(*) as n from o where o is not null group by 1, 2")

@@ -74,6 +74,14 @@ def test_stale_time_is_cut_off(spark):
     assert found == {"up": 5, "down": 10, "stale": 15}
 
 
+def test_the_later_id_counts_among_states_of_one_time(spark, tmp_path):
+    rows = [(4, 0.0), (3, 0.0), (7, 1.0), (6, 5.0), (5, 5.0), (8, 5.0), (9, 6.0)]
+    x = spark.createDataFrame(rows, "event_id long, s double").select("event_id", F.timestamp_millis((F.col("s") * 1000).cast("long")).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"))
+    x.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["category"]: (r["covered_ms"], r["longest_ms"]) for r in market._queries["c06_coverage_time"](spark, str(tmp_path)).collect()}
+    assert found == {"valid": (2000, 1000), "waiting": (4000, 4000)}
+
+
 def test_verdict_of_a_missing_value_fails(spark):
     x = spark.createDataFrame([("a", None)], "k string, v double")
     assert evidence.verdicts(x, ["k"], {"c": ("v", ">=", 0)}).first()["passed"] is False
