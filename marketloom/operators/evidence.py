@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import written
 from .inference import draw
 from .metrics import equal_count_bins
 from .series import full, last, prior, segment
@@ -90,13 +91,33 @@ def calibration(df: DataFrame, by: list[str], p: str, label: str, order: list[st
     return each.groupBy(*by).agg(n.alias("n"), (F.sum("_l") / n).alias("loss"), (F.sum("_s") / n).alias("brier"), (F.sum("_e") / n).alias("ece"))
 
 
+#: Ranges of the hash by which draws are counted, for each draw and stratum.
+RANGES = 4096
+
+
 def matched_random(df: DataFrame, stratum: str, id_: str, chosen: str, value: str, reps: int) -> DataFrame:
-    """(rep, picked, random_mean): draws without replacement of as many rows of each stratum as are ``chosen``."""
-    wanted = df.groupBy(stratum).agg(F.count_if(chosen).alias("_want"))
-    x = df.join(wanted, stratum).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    key = draw(F.lit("11"), F.col("rep"), F.col(id_), 1 << 32)
-    place = F.row_number().over(Window.partitionBy("rep", stratum).orderBy(key, id_))
-    return x.withColumn("_place", place).where("_place <= _want").groupBy("rep").agg(F.count("*").alias("picked"), F.avg(value).alias("random_mean"))
+    """(rep, picked, random_mean): draws without replacement of as many rows of each stratum as are ``chosen``.
+
+    The rows of smallest hash are drawn.  Counts and sums by range of the hash
+    tell in which range a draw ends; only rows of that range are sorted.  Values
+    are added as whole ten-thousandths and what is left, in any order alike.
+    """
+    wanted = df.groupBy(stratum).agg(F.count_if(chosen).alias("_want")).where("_want > 0")
+    x = df.select(stratum, id_, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    x = x.withColumn("_key", draw(F.lit("11"), F.col("rep"), F.col(id_), 1 << 32)).withColumn("_range", F.floor(F.col("_key") / ((1 << 32) // RANGES)))
+    units = F.when(F.abs(value) < 1e12, F.round(F.col(value) * 10000)).otherwise(F.lit(0.0)).cast("long")
+    sums = [F.count("*").alias("_n"), F.count(value).alias("_values"), F.sum(F.when(F.col(value).isNotNull(), units)).alias("_units"), F.sum(F.col(value) - units / 10000.0).alias("_rest")]
+    ranges = written(x.groupBy("rep", stratum, "_range").agg(*sums).join(wanted, stratum))
+    upto = F.sum("_n").over(Window.partitionBy("rep", stratum).orderBy(F.asc_nulls_first("_range")))
+    ranges = ranges.withColumn("_left", F.col("_want") - upto + F.col("_n")).where("_left > 0")
+    cut = ranges.where("_left < _n").select("rep", stratum, "_range", "_left")
+    same = F.col("x.rep").eqNullSafe(F.col("c.rep")) & (F.col(f"x.{stratum}") == F.col(f"c.{stratum}")) & F.col("x._range").eqNullSafe(F.col("c._range"))
+    rows = x.alias("x").join(F.broadcast(cut).alias("c"), same).select("x.*", "c._left")
+    place = F.row_number().over(Window.partitionBy("rep", stratum).orderBy("_key", id_))
+    rows = rows.withColumn("_place", place).where("_place <= _left").groupBy("rep").agg(*sums)
+    both = ranges.where("_left >= _n").select("rep", "_n", "_values", "_units", "_rest").unionByName(rows)
+    mean = F.try_divide(F.sum("_units") / 10000.0 + F.sum("_rest"), F.sum("_values"))
+    return both.groupBy("rep").agg(F.sum("_n").alias("picked"), mean.alias("random_mean"))
 
 
 def verdicts(df: DataFrame, by: list[str], criteria: dict[str, tuple[str, str, float]]) -> DataFrame:

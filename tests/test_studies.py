@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -92,3 +93,19 @@ def test_taker_delta_needs_all_its_bars(spark):
     x = spark.createDataFrame(rows, "symbol string, seg long, open_time_ms long, quote_volume double, taker_quote double")
     assert [r["d"] for r in x.withColumn("d", evidence.taker_delta(3)).orderBy("open_time_ms").collect()] == [None, None, 0.5, 0.5]
     assert series.segment() is not None
+
+
+@pytest.mark.parametrize("ranges", [1, 8, 4096])
+def test_matched_draws_are_the_rows_of_smallest_hash(spark, monkeypatch, ranges):
+    monkeypatch.setattr(evidence, "RANGES", ranges)
+    rows = [("a" if i % 3 else "b", i, i % 5 == 0, None if i % 11 == 0 else float(i)) for i in range(300)]
+    rows += [("all", i, True, 1.0) for i in range(300, 310)] + [("none", i, False, 1.0) for i in range(310, 320)]
+    x = spark.createDataFrame(rows, "k string, id long, c boolean, v double")
+    got = {r["rep"]: (r["picked"], r["random_mean"]) for r in evidence.matched_random(x, "k", "id", "c", "v", 3).collect()}
+    for rep in range(3):
+        picked = []
+        for k in ("a", "b", "all"):
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: (hashlib.md5(f"11|{rep}|{r[1]}".encode()).hexdigest()[:8], r[1]))
+            picked += mine[: sum(r[2] for r in mine)]
+        values = [r[3] for r in picked if r[3] is not None]
+        assert got[rep] == (len(picked), pytest.approx(sum(values) / len(values)))
