@@ -30,6 +30,17 @@ def failures(df: DataFrame, rules: dict[str, Column], key: list[str]) -> DataFra
     return df.select(F.explode(broken).alias("rule"), *key)
 
 
+def failures_by_key(df: DataFrame, rules: dict[str, Column], key: list[str], repeated: str) -> DataFrame:
+    """(rule, key, n): rows of each key that break each rule, and those of keys with several rows as rule ``repeated``.
+
+    One aggregation by key, so that no rows are held or sorted for it.
+    """
+    rows = F.count("*")
+    counts = {repeated: F.when(rows > 1, rows).otherwise(0)} | {n: F.count_if(c) for n, c in rules.items()}
+    x = df.groupBy(*key).agg(F.array(*(F.struct(F.lit(r).alias("rule"), n.alias("n")) for r, n in counts.items())).alias("_x"))
+    return x.select(F.explode("_x").alias("_x"), *key).where("_x.n > 0").select("_x.rule", *key, "_x.n")
+
+
 def census(df: DataFrame, kinds: dict[str, Column], time: str) -> DataFrame:
     """(kind, key, n, first, last): how often each value of each kind occurs, in one pass."""
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("key")) for k, c in kinds.items()))).alias("x")

@@ -109,3 +109,14 @@ def test_matched_draws_are_the_rows_of_smallest_hash(spark, monkeypatch, ranges)
             picked += mine[: sum(r[2] for r in mine)]
         values = [r[3] for r in picked if r[3] is not None]
         assert got[rep] == (len(picked), pytest.approx(sum(values) / len(values)))
+
+
+def test_failures_by_key_are_those_of_each_row(spark):
+    x = spark.createDataFrame([(1, 5), (1, -1), (2, None), (3, -1), (None, 1), (None, -3)], "id long, v long")
+    rules = {"negative": F.col("v") < 0, "odd": F.col("v") % 2 != 0}
+    found = audit.failures_by_key(x, rules, ["id"], "twice")
+    assert {tuple(r) for r in found.collect()} == {("twice", 1, 2), ("odd", 1, 2), ("negative", 1, 1), ("negative", 3, 1), ("odd", 3, 1), ("twice", None, 2), ("odd", None, 2), ("negative", None, 1)}
+    each = audit.failures(x, rules, ["id"]).groupBy("rule", "id").agg(F.count("*").alias("n"))
+    assert {tuple(r) for r in found.where("rule != 'twice'").collect()} == {tuple(r) for r in each.collect()}
+    plan = market._queries["p16_integrity"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
