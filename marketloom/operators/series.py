@@ -21,6 +21,25 @@ def with_segments(bars: DataFrame, step_ms: int) -> DataFrame:
     return bars.withColumn("seg", F.sum(gap.cast("long")).over(key()))
 
 
+def trailing_sum(df: DataFrame, by: list[str], time: str, span: int, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over rows from ``span`` before a row's time up to that time, both included.
+
+    Such a span is a row's own bucket of ``span`` up to it and the end of the
+    bucket before: two running sums, each inside one bucket, so that neither a
+    frame is added up row by row nor one key is one task.  Rows without a time
+    are summed together, as SQL's range frames do.
+    """
+    part = Window.partitionBy(*by, "_bucket")
+    x = df.withColumns({"_value": value, "_bucket": F.floor(F.col(time) / span)})
+    points = x.where(F.col(time).isNotNull())
+    rows = x.withColumn("_own", F.sum("_value").over(part.orderBy(time).rangeBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select(*by, (F.col("_bucket") - 1).alias("_bucket"), (F.col(time) - span).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(x.schema["_value"].dataType).alias("_value"), "_own", F.struct(*df.columns).alias("_row"))
+    points = points.select(*by, "_bucket", F.col(time).alias("_t"), F.lit(0).alias("_side"), "_value", F.lit(None).cast(rows.schema["_own"].dataType).alias("_own"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    end = F.sum("_value").over(part.orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0))
+    both = rows.unionByName(points).withColumn("_end", end).where("_row is not null")
+    return both.select("_row.*", F.coalesce(F.col("_own") + F.col("_end"), "_own", "_end").alias(name))
+
+
 def full(value: Column, window: WindowSpec, rows: int) -> Column:
     """``value`` where the frame has all ``rows`` rows."""
     return F.when(F.count(F.lit(1)).over(window) == rows, value)

@@ -346,8 +346,9 @@ def a21(spark, d):
 
 @_register("a22_trailing_flow", f"with {TICKS} select agg_id, sum(case when is_buyer_maker then -qty else qty end) over (partition by symbol order by ts_ms range between {HOUR_MS} preceding and current row) as flow from ticks")
 def a22(spark, d):
-    w = series.Window.partitionBy("symbol").orderBy("ts_ms").rangeBetween(-HOUR_MS, 0)
-    return ticks(spark, d).select("agg_id", F.sum(F.when(F.col("is_buyer_maker"), -F.col("qty")).otherwise(F.col("qty"))).over(w).alias("flow"))
+    signed = F.when(F.col("is_buyer_maker"), -F.col("qty")).otherwise(F.col("qty"))
+    x = ticks(spark, d).select("symbol", "ts_ms", "agg_id", signed.alias("signed"))
+    return series.trailing_sum(x, ["symbol"], "ts_ms", HOUR_MS, F.col("signed"), "flow").select("agg_id", "flow")
 
 
 _LAG = lambda c, n: f"lag({c}, {n}) over (partition by symbol, seg order by rn)"

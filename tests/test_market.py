@@ -176,3 +176,14 @@ def test_the_total_has_its_row_without_any_trade(spark, tmp_path, name):
     duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     theirs = duck.sql(market.oracle_sql()[name]).fetchall()
     assert len(theirs) == 1 and [tuple(x) for x in market._queries[name](spark, str(tmp_path)).collect()] == theirs
+
+
+def test_trailing_sums_agree_with_range_frames(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([None, -7, *range(0, 60)]), rng.choice([None, 1.0, -2.0, 5.0])) for _ in range(400)] + [("c", 3, None), (None, 4, 1.0), (None, 9, 2.0), ("d", 10, 1.0), ("d", 20, 2.0)]
+    x = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, k string, t long, v double")
+    got = series.trailing_sum(x, ["k"], "t", 10, F.col("v"), "s")
+    w = series.Window.partitionBy("k").orderBy("t").rangeBetween(-10, 0)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in x.withColumn("s", F.sum("v").over(w)).collect()}
+    plan = market._queries["a22_trailing_flow"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and "_bucket" in plan.split("hashpartitioning(symbol", 1)[1].split(")")[0]
