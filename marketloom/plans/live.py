@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..stored import shared_folder
 from ..streaming import guards, streams
 from .market import _register, r, rounded
 from .views import DAY_MS, TICKS, candles, candles_sql, ticks
@@ -15,11 +18,20 @@ from .views import DAY_MS, TICKS, candles, candles_sql, ticks
 START_MS, SPEED = 1_704_067_200_000, 200
 
 
+#: Rows of a part of a feed, about: one part is one micro-batch, of which a guard holds the rows of a key.
+ROWS = 2_000_000
+
+
 def _parts(rows: DataFrame, column: str = "arrival", n: int = 3) -> list[DataFrame]:
-    """Parts of about equal spans of ``column``."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
+    """At least ``n`` parts of about equal spans of ``column``, as many as keep them near ``ROWS`` rows; ``rows`` is read once for all."""
+    low, high, count = rows.agg(F.min(column), F.max(column), F.count("*")).first()
+    n = max(n, -(-count // ROWS))
     part = F.least(F.floor((F.col(column) - low) * n / (high - low + 1)), F.lit(n - 1))
-    return [rows.where(part == i) for i in range(n)]
+    place = f"{shared_folder(rows.sparkSession)}/parts-{uuid.uuid4().hex}"
+    rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(place)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])
+    stored = rows.sparkSession.read.schema(schema).parquet(place)
+    return [stored.where(F.col("_part") == i).drop("_part") for i in range(n)]
 
 
 def _fed(rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -21,6 +21,8 @@ MIN_RETURN = 0.015
 MIN_ZSCORE = 4.0
 MIN_POINTS = 20
 HISTORY_POINTS = 600
+#: Rows that a guard hands back at a time.
+OUT_ROWS = 50_000
 #: Families and directions of the two rows of an observation.
 FAMILIES = (("PUMP_RISK", "RISK_UP"), ("CRASH_RISK", "RISK_DOWN"))
 
@@ -40,7 +42,8 @@ def _stateful(rows: DataFrame, keys: list[str], step: Callable[[pd.DataFrame, tu
         if after is not None:
             group.update(after)
             group.setTimeoutTimestamp(max(last + keep_ms, group.getCurrentWatermarkMs() + 1))
-        yield out.assign(**dict(zip(keys, key, strict=True)))[names]
+        for i in range(0, max(len(out), 1), OUT_ROWS):
+            yield out.iloc[i : i + OUT_ROWS].assign(**dict(zip(keys, key, strict=True)))[names]
 
     names = [f.strip().split(" ")[0] for f in output.split(",")]
     timed = rows.withColumn("_time", F.timestamp_millis(time)).withWatermark("_time", delay)

@@ -168,3 +168,11 @@ def test_numbers_over_many_parts(spark):
     for g in range(3):
         mine = sorted((r["a"], r["id"], r["n"]) for r in got if r["g"] == g)
         assert [x[2] for x in mine] == list(range(1, len(mine) + 1))
+
+
+def test_large_feeds_come_in_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(live, "ROWS", 150)
+    x = spark.range(1000).select(F.col("id").alias("arrival"))
+    parts = [p.count() for p in live._parts(x)]
+    assert len(parts) == 7 and sum(parts) == 1000 and max(parts) <= 150
+    test_queries_match_their_sql(spark, SMALL, "t07_latest_quotes")
