@@ -8,6 +8,7 @@ row could still be compared with it.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,7 +56,9 @@ def anomaly(times: list[int], prices: list[float], horizon_s: int, min_return: f
     if len(times) < min_points:
         return None
     target = times[-1] - horizon_s * 1000
-    at = min(range(len(times)), key=lambda i: abs(times[i] - target))
+    at = bisect_left(times, target)  # of the nearest points the earliest
+    if at == len(times) or at and target - times[at - 1] <= times[at] - target:
+        at -= 1
     if times[at] > target + 5_000:
         return None
     change = prices[-1] / prices[at] - 1
@@ -67,6 +70,36 @@ def anomaly(times: list[int], prices: list[float], horizon_s: int, min_return: f
     return (change, zscore) if zscore >= min_zscore else None
 
 
+def evaluated(
+    arrival: np.ndarray, t: np.ndarray, p: np.ndarray, times: list[int], prices: list[float],
+    window: int, history: int, horizon_s: int, min_return: float, min_zscore: float, min_points: int,
+) -> pd.DataFrame:
+    """(arrival, event_time_ms, price, change, robust_zscore) of the observations that are not older than the last one.
+
+    Takes the points into ``times`` and ``prices``.  Observations of one
+    millisecond differ in their price alone, so each price is judged once.
+    """
+    top = np.maximum.accumulate(np.concatenate([times[-1:] or t[:1], t]))[:-1]
+    arrival, t, p = (x[t >= top] for x in (arrival, t, p))
+    found = np.full((len(t), 2), np.nan)
+    cuts = [0, *(np.flatnonzero(np.diff(t)) + 1), len(t)] if len(t) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        now = int(t[a])
+        if not times or now > times[-1]:
+            times.append(now)
+            prices.append(math.nan)
+        first = max(bisect_left(times, now - window), len(times) - history)
+        del times[:first], prices[:first]
+        different, which = np.unique(p[a:b], return_inverse=True)
+        hits = []
+        for price in different:
+            prices[-1] = float(price)
+            hits.append(anomaly(times, prices, horizon_s, min_return, min_zscore, min_points) or (math.nan, math.nan))
+        found[a:b] = np.array(hits)[which]
+        prices[-1] = float(p[b - 1])
+    return pd.DataFrame({"arrival": arrival, "event_time_ms": t, "price": p, "change": found[:, 0], "robust_zscore": found[:, 1]})
+
+
 def anomalies(
     tickers: DataFrame,
     horizon_s: int = HORIZON_S,
@@ -87,33 +120,21 @@ def anomalies(
     """
     window = max(horizon_s * 20_000, 600_000)
 
-    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple, int]:
+    def step(rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple | None, int]:
         times, prices = (list(x) for x in state) if state else ([], [])
-        out = []
-        for arrival, t, p in zip(rows["arrival"], rows["event_time_ms"], rows["price"], strict=True):
-            if times and t < times[-1]:
-                continue
-            if times and t == times[-1]:
-                prices[-1] = p
-            else:
-                times.append(int(t))
-                prices.append(p)
-            first = max(next(i for i, x in enumerate(times) if x >= t - window), len(times) - history)
-            del times[:first], prices[:first]
-            found = anomaly(times, prices, horizon_s, min_return, min_zscore, min_points)
-            for up, (family, direction) in zip((True, False), FAMILIES, strict=True):
-                if found and (found[0] > 0) == up:
-                    score = min(100, int(70 + min(15, found[1] - min_zscore) + min(15, abs(found[0]) * 500)))
-                    out.append((arrival, t, p, family, direction, score, True, *found))
-                else:
-                    out.append((arrival, t, p, family, direction, 0, False, None, None))
-        frame = pd.DataFrame(out, columns=["arrival", "event_time_ms", "price", "family", "direction", "score", "triggered", "change", "robust_zscore"])
-        frame = frame.astype({"arrival": "int64", "event_time_ms": "int64", "price": "float64", "score": "int64", "triggered": "bool", "change": "float64", "robust_zscore": "float64"})
-        return frame, (times, prices) if times else None, times[-1] if times else 0
+        columns = (rows[c].to_numpy() for c in ("arrival", "event_time_ms", "price"))
+        out = evaluated(*columns, times, prices, window, history, horizon_s, min_return, min_zscore, min_points)
+        return out, (times, prices) if times else None, times[-1] if times else 0
 
     valid = tickers.where("price > 0").select("symbol", "event_time_ms", "price", "arrival")
-    output = "symbol string, arrival long, event_time_ms long, price double, family string, direction string, score long, triggered boolean, change double, robust_zscore double"
-    return _stateful(valid, ["symbol"], step, output, "times array<long>, prices array<double>", "event_time_ms", delay, window)
+    output = "symbol string, arrival long, event_time_ms long, price double, change double, robust_zscore double"
+    x = _stateful(valid, ["symbol"], step, output, "times array<long>, prices array<double>", "event_time_ms", delay, window)
+    score = F.least(F.lit(100), F.floor(70 + F.least(F.lit(15), F.col("robust_zscore") - min_zscore) + F.least(F.lit(15), F.abs("change") * 500)))
+    sides = []
+    for up, (family, direction) in zip((True, False), FAMILIES, strict=True):
+        on = F.coalesce((F.col("change") > 0) == up, F.lit(False))
+        sides.append(F.struct(F.lit(family).alias("family"), F.lit(direction).alias("direction"), F.when(on, score).otherwise(0).cast("long").alias("score"), on.alias("triggered"), F.when(on, F.col("change")).alias("change"), F.when(on, F.col("robust_zscore")).alias("robust_zscore")))
+    return x.select("symbol", "arrival", "event_time_ms", "price", F.explode(F.array(*sides)).alias("_x")).select("symbol", "arrival", "event_time_ms", "price", "_x.*")
 
 
 def bar_admission(bars: DataFrame, keep_ms: int, delay: str) -> DataFrame:

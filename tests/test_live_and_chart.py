@@ -176,3 +176,29 @@ def test_large_feeds_come_in_more_parts(spark, monkeypatch):
     parts = [p.count() for p in live._parts(x)]
     assert len(parts) == 7 and sum(parts) == 1000 and max(parts) <= 150
     test_queries_match_their_sql(spark, SMALL, "t07_latest_quotes")
+
+
+def test_prices_of_one_millisecond_are_judged_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    t = (np.arange(4000) // 40 * 2000 - np.where(np.arange(4000) % 37 == 0, 4000, 0)).astype("int64")
+    p = 100 + rng.integers(0, 3, 4000) * 0.01 + np.where(t // 60_000 % 2 == 1, 5.0, 0.0)
+    times, prices, want = [], [], []
+    for n in range(4000):
+        if times and t[n] < times[-1]:
+            continue
+        if times and t[n] == times[-1]:
+            prices[-1] = p[n]
+        else:
+            times.append(int(t[n]))
+            prices.append(p[n])
+        first = max(next(i for i, x in enumerate(times) if x >= t[n] - 600_000), len(times) - 50)
+        del times[:first], prices[:first]
+        want.append((n, t[n], p[n], *(guards.anomaly(times, prices, 30, 0.015, 4, 20) or (None, None))))
+    calls, judge = [], guards.anomaly
+    monkeypatch.setattr(guards, "anomaly", lambda *a: calls.append(1) or judge(*a))
+    held, got = ([], []), []
+    for part in np.array_split(np.arange(4000), 3):
+        got.append(guards.evaluated(part, t[part], p[part], *held, 600_000, 50, 30, 0.015, 4, 20))
+    got = [tuple(None if x != x else x for x in r) for f in got for r in f.itertuples(index=False)]
+    assert got == want and any(r[3] for r in want) and held == (times, prices)
+    assert len(calls) < 500
