@@ -2,12 +2,15 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from marketloom.llm import bpe, line_dedup, minhash, mixing, quality, queries, secrets, suffix_dedup, topk, toxicity, url_filter
@@ -96,6 +99,33 @@ def test_suffix_dedup_counts_the_strings_of_crowded_anchors(spark):
         assert {r["doc_id"]: bytes(r["kept"]) for r in got} == dict(enumerate(want))
 
 
+def test_suffix_sort_of_a_batch_takes_little_memory():
+    rng = np.random.default_rng(3)
+    n = suffix_dedup.BATCH_BYTES // 600
+    text = rng.integers(97, 123, 600 * n).astype(np.uint8)
+    tracemalloc.start()
+    suffix_dedup.repeated_starts(text, np.arange(n + 1) * 600, np.full(n, 201), 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6
+
+
+def test_suffix_dedup_unpacks_few_texts_at_once():
+    rng = random.Random(8)
+    texts = [rng.randbytes(rng.randrange(10, 60_000)) for _ in range(200)] + [None, b"", rng.randbytes(500_000), b"end"]
+    raw = [[{"s": 0, "e": 5}, {"s": 3, "e": 10}] if i % 2 and i < 200 else None for i in range(len(texts))]
+    pack = [None if t is None else zstandard.compress(t, 1) for t in texts]
+    spans = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(pack, pa.binary()), pa.array(raw, spans)], ["doc_id", "packed", "raw"])
+    got = list(suffix_dedup._without(iter([batch, batch.slice(0, 0)])))
+    assert all(b.num_rows == 1 or sum(b.column("n_bytes").to_pylist()) <= suffix_dedup.TEXT_BYTES for b in got)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    for r, t, cut in zip(rows, texts, raw, strict=True):
+        assert r["kept"] == (t or b"")[10 if cut else 0 :] and r["n_bytes"] == len(t or b"")
+        assert r["spans"] == ([{"start": 0, "end": 10}] if cut else [])
+
+
 def test_suffix_dedup_of_a_text_longer_than_a_slice(spark):
     rng = np.random.default_rng(6)
     letters = "".join(map(chr, rng.integers(97, 123, 900_000)))
